@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .near_dup import near_duplicates
 from .quality_rules import quality_rules
 
 
@@ -18,7 +19,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {}
 
 
