@@ -10,10 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import decontaminate
 from .near_dup import near_duplicates
 from .quality_rules import quality_rules
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    c = F.col("contamination")
+    return judged.select(
+        "doc_id",
+        c["n_words"].alias("n_words"),
+        c["n_hit"].alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"),
+        c["contaminated"].alias("contaminated"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", *(F.col(f"quality.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -23,7 +37,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op10_near_duplicates": op10_near_duplicates}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_quality_rules": op6_quality_rules, "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {}
 
 
