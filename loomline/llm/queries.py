@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .common import read
 from .decontaminate import decontaminate
 from .near_dup import near_duplicates
@@ -33,11 +34,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of each row."""
+    both = decode(encode(docs))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_quality_rules": op6_quality_rules, "op10_near_duplicates": op10_near_duplicates}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_quality_rules": op6_quality_rules, "op9_bpe": op9_bpe, "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {}
 
 
