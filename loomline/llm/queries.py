@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .common import read
 from .decontaminate import decontaminate
+from .line_dedup import line_dedup
 from .near_dup import near_duplicates
 from .quality_rules import quality_rules
 
@@ -34,6 +35,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup(read(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of each row."""
     both = decode(encode(docs))
@@ -49,7 +60,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_quality_rules": op6_quality_rules, "op9_bpe": op9_bpe, "op10_near_duplicates": op10_near_duplicates}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_quality_rules": op6_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_bpe": op9_bpe, "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {}
 
 
