@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .common import read
 from .decontaminate import decontaminate
+from .html_extract import html_extract
 from .line_dedup import line_dedup
 from .near_dup import near_duplicates
 from .quality_rules import quality_rules
 
+from .url_filter import url_filter
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -30,6 +37,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", *(F.col(f"quality.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -60,7 +72,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_quality_rules": op6_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_bpe": op9_bpe, "op10_near_duplicates": op10_near_duplicates}
+QUERIES = {"op1_url_filter": op1_url_filter, "op4_html_extract": op4_html_extract, "op2_decontaminate": op2_decontaminate, "op6_quality_rules": op6_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_bpe": op9_bpe, "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {}
 
 
