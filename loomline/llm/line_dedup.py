@@ -127,34 +127,40 @@ def _alike(percent: int):
                 a, b = (set(s.encode("utf-8", "surrogatepass").lower().split()) for s in (x, y))
                 both = len(a & b)
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["h1", "h2"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["doc_id_x", "u_x"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), F.posexplode(F.split(text, "\n")).alias("line", "value"))
+def place_in_doc():
+    """Place of a line in its document: 31 bits of the text's hash, that tell rows of one doc_id apart, and its number."""
+    return F.shiftleft(F.col("t").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("line").cast("long"))
 
 
 def later_matches(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(h1, h2) of the classes that an earlier class matches. classes: h1, h2, n, prefix, first."""
-    flat = classes.select("h1", "h2", "n", "first", F.posexplode("prefix").alias("at", "token"))
-    often = flat.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    flat = flat.join(often, "token", "left_semi")
-    side = lambda s: flat.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("h1", "h2", "n", "first", "at")))
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(percent) / F.lit(100 + percent))
-    long_enough = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= need
-    met = side("x").join(side("y"), "token").where((F.col("first_y") < F.col("first_x")) & long_enough & room)
-    pairs = checkpointed(met.select(F.col("h1_x").alias("h1"), F.col("h2_x").alias("h2"), "first_x", "first_y").distinct())
-    places = pairs.select(F.explode(F.array("first_x", "first_y")).alias("p")).distinct()
+    """Places (doc_id, u) of the classes that an earlier class matches. classes: doc_id, u, n, prefix.
+
+    Rows of the join carry a token, the class's first place and one number for its length and the
+    token's position, so both sides are one and the same narrow shuffle.
+    """
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    flat = classes.select("doc_id", "u", "n", F.posexplode("prefix").alias("at", "token")).select("token", "doc_id", "u", packed.alias("m"))
+    side = lambda s: flat.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "u", "m")))
+    n = lambda s: F.shiftright(F.col(f"m_{s}"), 32)
+    at = lambda s: F.col(f"m_{s}").bitwiseAND(F.lit((1 << 32) - 1))
+    earlier = (F.col("doc_id_y") < F.col("doc_id_x")) | ((F.col("doc_id_y") == F.col("doc_id_x")) & (F.col("u_y") < F.col("u_x")))
+    long_enough = F.least(n("x"), n("y")) * 100 >= F.greatest(n("x"), n("y")) * percent
+    room = F.least(n("x") - at("x"), n("y") - at("y")) * (100 + percent) >= (n("x") + n("y")) * percent
+    met = side("x").join(side("y"), "token").where(earlier & long_enough & room)
+    pairs = checkpointed(met.select("doc_id_x", "u_x", "doc_id_y", "u_y").distinct())
+    ends = [pairs.select(F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"u_{s}").alias("u")) for s in "xy"]
+    places = checkpointed(ends[0].union(ends[1]).distinct())
     few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
-    lines = _lines(docs).select(F.struct("doc_id", "t", "line").alias("p"), "value")
-    texts = checkpointed(lines.join(F.broadcast(places) if few else places, "p", "left_semi").dropDuplicates(["p"]))
-    of = lambda s: texts.select(F.col("p").alias(f"first_{s}"), F.col("value").alias(f"text_{s}"))
-    full = pairs.join(of("x"), "first_x").join(of("y"), "first_y").select("h1", "h2", "text_x", "text_y")
-    return full.mapInArrow(_alike(percent), "h1 long, h2 long").distinct()
+    lines = docs.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line", "value")).select("doc_id", place_in_doc().alias("u"), "value")
+    texts = checkpointed(lines.join(F.broadcast(places) if few else places, ["doc_id", "u"], "left_semi").dropDuplicates(["doc_id", "u"]))
+    of = lambda s: texts.select(F.col("doc_id").alias(f"doc_id_{s}"), F.col("u").alias(f"u_{s}"), F.col("value").alias(f"text_{s}"))
+    full = pairs.join(of("x"), ["doc_id_x", "u_x"]).join(of("y"), ["doc_id_y", "u_y"]).select("doc_id_x", "u_x", "text_x", "text_y")
+    return full.mapInArrow(_alike(percent), "doc_id_x long, u_x long").distinct()
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -169,15 +175,18 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, t long, line int, h1 long, h2 long, n int, prefix array<long>"
-    signed = written(keyed.mapInArrow(_signed(ranks, percent), schema))
-    place = F.struct("doc_id", "t", "line")
-    classes = written(signed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("prefix").alias("prefix")))
-    later = checkpointed(later_matches(classes.select("h1", "h2", "n", "prefix", "first"), keyed, percent))
+    signed = written(keyed.mapInArrow(_signed(ranks, percent), schema).withColumn("u", place_in_doc()).drop("line"))
+    place = F.struct("doc_id", "u")
+    classes = signed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
+    classes = written(classes.select("h1", "h2", "first.*", "size", "n", "prefix"))
+    later = checkpointed(later_matches(classes.select("doc_id", "u", "n", "prefix"), keyed, percent))
     # a class goes whole if an earlier one matches it, else all of it but its first line
-    repeated = classes.where("size > 1").select("h1", "h2", "first")
-    gone = repeated.join(later.select("h1", "h2", F.lit(True).alias("whole")), ["h1", "h2"], "full")
-    slots = signed.select("doc_id", "t", "line", "h1", "h2")
-    lost = slots.join(gone, ["h1", "h2"]).where(F.coalesce("whole", F.lit(False)) | (place != F.col("first")))
+    whole = later.select(F.col("doc_id_x").alias("doc_id"), F.col("u_x").alias("u"), F.lit(True).alias("whole"))
+    gone = classes.select("h1", "h2", "doc_id", "u", "size").join(whole, ["doc_id", "u"], "left").where("whole or size > 1")
+    gone = gone.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("u").alias("first_u"), "whole")
+    lost = signed.select("doc_id", "t", "u", "h1", "h2").join(gone, ["h1", "h2"])
+    lost = lost.where(F.coalesce("whole", F.lit(False)) | (F.col("doc_id") != F.col("first_doc")) | (F.col("u") != F.col("first_u")))
+    lost = lost.select("doc_id", "t", F.col("u").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line"))
     per_doc = lost.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line")).alias("lost"))
     columns = [c for c in docs.columns if c != "removed"]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("d"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("t"))

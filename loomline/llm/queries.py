@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .chat_format import chat_format
 from .common import read
 from .decontaminate import decontaminate
 from .html_extract import html_extract
 from .line_dedup import line_dedup
 from .near_dup import near_duplicates
+from .quality_model import quality_model
 from .quality_rules import quality_rules
 
+from .secret_scan import labelled_findings, secret_scan, train
 from .url_filter import url_filter
 
 
@@ -37,6 +40,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_model(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    rounded = [F.round(c, 6).alias(c) for c in ("own", "host_mean", "path_mean", "score")]
+    return judged.select("doc_id", *rounded, "kept")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(read(spark, sf_dir, "conversations"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(read(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+    return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 6).alias("probability"), "secret")
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract(read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -72,7 +90,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op4_html_extract": op4_html_extract, "op2_decontaminate": op2_decontaminate, "op6_quality_rules": op6_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_bpe": op9_bpe, "op10_near_duplicates": op10_near_duplicates}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_decontaminate, op3_quality_model, op4_html_extract, op5_chat_format,
+        op6_quality_rules, op7_line_dedup, op8_secret_scan, op9_bpe, op10_near_duplicates,
+    )
+}
 ORACLES: dict[str, str] = {}
 
 
