@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,15 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import written
 
 #: Fixed value: the pre-token pattern of the vocabulary, with white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Characters under this one are split by the standard library's pattern with their letters and numbers spelled out, which is faster.
+NEAR = 0x250
 #: Texts of only these characters split alike under any Unicode version; the library splits the others.
 SETTLED = r"[\x00-ԯ‐-⁤　-ヿ一-龥가-힣]*"
-#: Words in the broadcast table, at most (about 100 MB in each Python worker).
-FREQUENT = 400_000
+#: Words in the broadcast table, at most (about 75 MB in each Python worker).
+FREQUENT = 300_000
 #: A task emits its distinct words whenever it holds so many.
 HELD = 300_000
 MARK = 0xFFFF
@@ -57,16 +62,32 @@ def _specials(spec: str) -> tuple[tuple[str, int], ...]:
     return tuple((x["content"], x["id"]) for x in json.loads(spec)["added_tokens"])
 
 
+@lru_cache(maxsize=1)
+def _near():
+    """(find, fullmatch) for texts of characters under NEAR."""
+
+    def of(*kinds: str) -> str:
+        return "".join(re.escape(chr(c)) for c in range(NEAR) if unicodedata.category(chr(c))[0] in kinds)
+
+    letters, numbers = of("L"), of("N")
+    spaces = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0)))
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+    return re.compile(pattern).findall, re.compile(rf"[\x00-{chr(NEAR - 1)}]*").fullmatch
+
+
 @lru_cache(maxsize=2)
 def _splitter(spec: str):
     import regex
 
+    near, is_near = _near()
     find, settled = regex.compile(PATTERN).findall, regex.compile(SETTLED).fullmatch
     split = _library(spec).pre_tokenizer.pre_tokenize_str
     specials = [s for s, _ in _specials(spec)]
     cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")").split if specials else None
 
     def plain(text: str) -> list[str]:
+        if is_near(text):
+            return near(text)
         return find(text) if settled(text) else [text[a:b] for _, (a, b) in split(text)]
 
     def words(text: str | None) -> list[str]:
@@ -136,20 +157,31 @@ def _least_frequent(table: DataFrame) -> int:
     return 1
 
 
+class _Known(dict):
+    """Packed ids by word; a word outside gets the mark and is noted."""
+
+    def __init__(self, known: dict[str, bytes]):
+        super().__init__(known)
+        self.mark, self.rare = np.array([MARK], np.uint16).tobytes(), []
+
+    def __missing__(self, word: str) -> bytes:
+        self.rare.append(word)
+        return self.mark
+
+
 def _packed(spec, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         words, known, pack = _splitter(spec.value), frequent.value, zstandard.ZstdCompressor(level=1).compress
-        mark = np.array([MARK], np.uint16).tobytes()
+        look = known.__getitem__
         for batch in batches:
             ids, rare = [], []
             for text in batch.column("text"):
-                w = words(text.as_py())
-                parts = [known.get(x, mark) for x in w]
-                ids.append(pack(b"".join(parts)))
-                rare.append([x for x, p in zip(w, parts) if p == mark] if mark in parts else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["h1", "h2", "doc_id", "packed", "rare"])
+                known.rare = []
+                ids.append(pack(b"".join(map(look, words(text.as_py())))))
+                rare.append(known.rare)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "packed", "rare"])
 
     return run
 
@@ -160,13 +192,15 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         packed, found = batch.column("packed"), batch.column("found")
+        bounds, rows = found.offsets.to_numpy(), found.values
+        place, own = rows.field("k").to_numpy(zero_copy_only=False), rows.field("ids").to_pylist()
         flat, sizes = [], []
         for i in range(batch.num_rows):
             ids = np.frombuffer(unpack(packed[i].as_py()), np.uint16)
-            if (got := found[i].as_py()) is not None:
+            lo, hi = (bounds[i], bounds[i + 1]) if found[i].is_valid else (0, 0)
+            if hi > lo:
                 at = ids == MARK
-                own = {x["k"]: x["ids"] for x in got}
-                rare = [own[k] for k in range(len(own))]
+                rare = [own[lo + j] for j in np.argsort(place[lo:hi])]
                 times = np.ones(len(ids), np.int64)
                 times[at] = [len(x) // 2 for x in rare]
                 ids, at = np.repeat(ids, times), np.repeat(at, times)
@@ -192,22 +226,27 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     table = word_table(docs, spec)
     least = _least_frequent(table)
     top = table.where(F.col("n") >= least).select("word", "ids").collect()  # at most FREQUENT rows
-    frequent = context.broadcast({r.word: bytes(r.ids) for r in top})
+    frequent = context.broadcast(_Known({r.word: bytes(r.ids) for r in top}))
     text = F.col("text").cast("string")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(F.xxhash64(F.lit(1), "doc_id", text).alias("h1"), F.xxhash64(F.lit(2), text, "doc_id").alias("h2"), "doc_id", text.alias("text"))
-    packed = keyed.mapInArrow(_packed(spec, frequent), f"h1 long, h2 long, doc_id {id_type}, packed binary, rare array<string>")
-    rare = packed.select("h1", "h2", F.posexplode("rare").alias("k", "word"))
-    ids = rare.join(table.where(F.col("n") < least).select("word", "ids"), "word").groupBy("h1", "h2").agg(F.collect_set(F.struct("k", "ids")).alias("found"))
-    whole = packed.select("h1", "h2", "doc_id", "packed").join(ids, ["h1", "h2"], "left").select("doc_id", "packed", "found")
-    return whole.mapInArrow(_filled, f"doc_id {id_type}, ids array<int>")
+    kind = docs.schema["doc_id"].dataType
+    own = F.col("doc_id").cast("long") if isinstance(kind, IntegralType) else F.xxhash64("doc_id")
+    # small numbers in k1 shuffle in less room than another digest would
+    keyed = docs.select(F.coalesce(own, F.hash(text).cast("long")).alias("k1"), F.xxhash64(text, "doc_id").alias("k2"), "doc_id", text.alias("text"))
+    packed = keyed.mapInArrow(_packed(spec, frequent), f"k1 long, k2 long, doc_id {kind.simpleString()}, packed binary, rare array<string>")
+    rare = packed.select("k1", "k2", F.posexplode("rare").alias("k", "word"))
+    ids = rare.join(table.where(F.col("n") < least).select("word", "ids"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("k", "ids")).alias("found"))
+    whole = packed.select("k1", "k2", "doc_id", "packed").join(ids, ["k1", "k2"], "left").select("doc_id", "packed", "found")
+    return whole.mapInArrow(_filled, f"doc_id {kind.simpleString()}, ids array<int>")
 
 
 def _decoded(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _pieces(spec.value).__getitem__
         for batch in batches:
-            texts = [b"".join(map(piece, x.as_py() or ())).decode("utf-8", "replace") for x in batch.column("ids")]
+            column = batch.column("ids")
+            bounds, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            spans = [(bounds[i], bounds[i + 1]) if column[i].is_valid else (0, 0) for i in range(len(column))]
+            texts = [b"".join(map(piece, flat[lo:hi].tolist())).decode("utf-8", "replace") for lo, hi in spans]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run

@@ -18,6 +18,8 @@ from .common import checkpointed, lower_ascii, words
 #: A word is a run of digits, letters a-z and anything beyond ASCII, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, TOKEN = 13, 3
+#: The same words in a text whose A-Z are not lowered yet, for counting.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A broadcast index has at most so many rows (about 300 bytes each).
 BROADCAST_ROWS = 50_000
 
@@ -26,6 +28,10 @@ def _words(text: str) -> Column:
     return words(lower_ascii(F.col(text).cast("string")), WORD)
 
 
+def _n_words() -> Column:
+    return F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
+
+
 def _is_small(df: DataFrame, weight: Column | None = None) -> bool:
     """Whether df, which must be checkpointed, has few enough rows (or a small enough sum of weight) to be broadcast."""
     n = df.limit(BROADCAST_ROWS + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
@@ -39,14 +45,19 @@ def _context(flat: DataFrame) -> DataFrame:
     return flat.select(*rest, base.alias("base"), F.size("w").alias("length"), F.slice("w", base + 1, 2 * WINDOW - 1).alias("near"))
 
 
+def _token(w: Column, i: Column, k: int) -> Column:
+    """A shingle as a hash: tokens that collide only make candidates, whose words are compared."""
+    return F.xxhash64(F.lit(k), *(F.get(w, i + j) for j in range(k)))
+
+
 def _shingles(w: Column, widths: list[int]) -> Column:
-    """(at, token) of each shingle of the word array w, for each width that the index has."""
+    """(at, width, token) of each shingle of the word array w, for each width that the index has."""
 
     def of_width(k):
         def one(i):
-            return F.struct(i.alias("at"), F.concat_ws(" ", *(F.get(w, i + j) for j in range(k))).alias("token"))
+            return F.struct(i.alias("at"), F.lit(k).alias("width"), _token(w, i, k).alias("token"))
 
-        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), one)).otherwise(F.array().cast("array<struct<at:int,token:string>>"))
+        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), one)).otherwise(F.array().cast("array<struct<at:int,width:int,token:bigint>>"))
 
     return F.concat(*map(of_width, widths)) if len(widths) > 1 else of_width(widths[0])
 
@@ -74,11 +85,12 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     worded = docs.select(key, _words("text").alias("w"))
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "contamination"]
     if not widths:
-        none = F.struct(F.size(_words("text")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+        none = F.struct(_n_words().alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
         return docs.select(*columns, none.alias("contamination"))
     flat = worded.select("key", "w", F.explode(_shingles(F.col("w"), widths)).alias("s")).select("key", "w", F.col("s.at").alias("at"), F.col("s.token").alias("token"))
     # rarity over the whole corpus of the tokens that windows have
-    tokens = spread.select("item_id", "window", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("window") - width), lambda i: F.concat_ws(" ", F.slice("window", i + 1, TOKEN)))).alias("offset", "token"))
+    own = F.explode(_shingles(F.col("window"), widths)).alias("s")
+    tokens = spread.select("item_id", "window", "n", own).where(F.col("s.width") == width).select("item_id", "window", "n", F.col("s.at").alias("offset"), F.col("s.token").alias("token"))
     wanted = checkpointed(tokens.select("token").distinct())
     if _is_small(wanted):
         counts = flat.select("token").join(F.broadcast(wanted), "token").groupBy("token").count()
@@ -100,7 +112,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     per_doc = checkpointed(per_doc)
     small = _is_small(per_doc, 1 + F.size("items"))
     per_doc = per_doc.withColumnRenamed("key", "hit_key")
-    all_docs = docs.select(F.struct(*columns).alias("d"), key, F.size(_words("text")).cast("long").alias("n_words"))
+    all_docs = docs.select(F.struct(*columns).alias("d"), key, _n_words().alias("n_words"))
     joined = all_docs.join(F.broadcast(per_doc) if small else per_doc, F.col("key").eqNullSafe(F.col("hit_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     judged = F.struct("n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))

@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
-A line's tokens are its distinct words. Tokens are ordered by rarity: words are counted over the whole
-corpus, the RANKED most frequent are broadcast with their rank, all others are rarer and ordered by
-hash, so every task has one and the same order. Two lines of similarity t share a token within their
+A line's tokens are its distinct words, as 64-bit hashes made for whole batches at a time. Tokens are ordered by
+rarity: words are counted over the whole corpus, the RANKED most frequent are broadcast with their rank, all
+others are rarer and ordered by hash, so every task has one and the same order. Two lines of similarity t share a token within their
 prefixes of n - ceil(t n) + 1 rarest tokens; lengths and the places of that token bound their overlap.
 
 Lines of equal token sets are one class with its first place in the corpus. Classes are joined, the
@@ -11,110 +11,115 @@ remaining candidates are verified on their words, and a line goes if an earlier
 
 from __future__ import annotations
 
-import hashlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, written
+from .near_dup import mix, runs_of, word_hashes
 
 PERCENT = 80
 #: Lines of fewer distinct words are never removed.
 MIN_WORDS = 5
-#: Words in the broadcast rank table, at most (about 40 MB in each Python worker).
+#: Words in the broadcast rank table, at most (16 bytes each).
 RANKED = 200_000
-#: A task emits its counts, and forgets keys of words, whenever it holds so many.
-HELD = 300_000
-#: Places of candidate lines are broadcast up to so many (24 bytes each), else joined by a shuffle.
-BROADCAST_PLACES = 500_000
-_RARE = 1 << 62
-
-
-def _line_words(text: str | None) -> list[list[bytes]]:
-    return [x.split() for x in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+#: A task emits its counts whenever it holds so many words.
+HELD = 3_000_000
+#: Places of candidate lines, and numbers of lost lines, are broadcast up to so many, else joined by a shuffle.
+BROADCAST_PLACES, BROADCAST_LOST = 500_000, 1_000_000
+_RARE = np.uint64(1 << 62)
+#: Bits of a class's number for its length, and of its signature, that a joined row carries.
+LENGTH_BITS, SIGN_BITS = 20, 24
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held: list[np.ndarray] = []
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
+    size = 0
     for batch in batches:
-        for text in batch.column(0):
-            for w in _line_words(text.as_py()):
-                if len(w) >= MIN_WORDS:
-                    seen.update(w)
-            if len(seen) >= HELD:
+        texts = batch.column(0).to_pylist()
+        for lo, hi in runs_of(texts):
+            held.append(word_hashes(texts[lo:hi])[0])
+            size += len(held[-1])
+            if size >= HELD:
                 yield out()
-                seen.clear()
-    if seen:
+                held, size = [], 0
+    if held:
         yield out()
 
 
-def word_ranks(docs: DataFrame) -> dict[bytes, int]:
-    """Rank by count, the most frequent last, of at most RANKED words."""
-    table = written(docs.select(F.col("text").cast("string")).mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+def word_ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of at most RANKED words and their ranks by count, the most frequent last."""
+    table = written(docs.select(F.col("text").cast("string")).mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     least, total = 1, 0
     for n, words in table.groupBy("n").count().orderBy(F.desc("n")).limit(RANKED).collect():
         total += words
         if total > RANKED:
             least = n + 1
             break
-    top = table.where(F.col("n") >= least).collect()  # at most RANKED rows
-    return {w: i for i, (_, w) in enumerate(sorted((r.n, bytes(r.word)) for r in top))}
+    top = sorted((r.n, r.word) for r in table.where(F.col("n") >= least).collect())  # at most RANKED rows
+    word = np.array([w for _, w in top], np.int64).view(np.uint64)
+    order = np.argsort(word)
+    return word[order], order.astype(np.uint64)
 
 
-class _Keys(dict):
-    """Word -> its place in the order of rarity, made when first asked for."""
+def prefix_length(n, percent: int):
+    return n + (-percent * n) // 100 + 1
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        rank = self.ranks.get(word)
-        key = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big") >> 2 if rank is None else _RARE + rank
-        self[word] = key
-        return key
+def _sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else np.zeros(0, values.dtype)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n + (-percent * n) // 100 + 1
+def _signed(ranks, percent: int, prefixes: bool):
+    """doc_id, t, line, h1, h2 of every line long enough, and with prefixes its packed length and signature and its prefix."""
 
-
-def _signed(ranks, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = _Keys(ranks.value).__getitem__
-        names = ["doc_id", "t", "line", "h1", "h2", "n", "prefix"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-        rows: list[tuple] = []
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), types)], names)
-
+        known, rank = ranks.value
+        names = ["doc_id", "t", "line", "h1", "h2"] + ["m", "prefix"] * prefixes
         for batch in batches:
-            for doc_id, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                for i, w in enumerate(_line_words(text.as_py())):
-                    if len(w) < MIN_WORDS:
-                        continue
-                    keys = sorted(set(map(key, w)))
-                    if len(keys) < MIN_WORDS:
-                        continue
-                    d = hashlib.blake2b(array("q", keys).tobytes(), digest_size=16).digest()
-                    h1, h2 = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-                    rows.append((doc_id, t, i, h1, h2, len(keys), keys[: prefix_length(len(keys), percent)]))
-                if len(rows) >= 20_000:
-                    yield out()
-                    rows = []
-        if rows:
-            yield out()
+            texts = batch.column(2).to_pylist()
+            ids, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, hi in runs_of(texts):
+                word, owner, line = word_hashes(texts[lo:hi])
+                key = word >> np.uint64(2)
+                if len(known) and len(word):
+                    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                    key = np.where(known[at] == word, _RARE + rank[at], key)
+                order = np.lexsort((key, line))
+                key, line, owner = key[order], line[order], owner[order]
+                fresh = np.ones(len(key), bool)
+                fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+                key, line, owner = key[fresh], line[fresh], owner[fresh]
+                first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(line)))
+                use = np.repeat(n >= MIN_WORDS, n)
+                key, line, owner = key[use], line[use], owner[use]
+                n = n[n >= MIN_WORDS]
+                first = np.cumsum(n) - n
+                if not len(n):
+                    continue
+                h1, h2 = (_sum_by(mix(key * np.uint64(k) + np.uint64(k)), first).view(np.int64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+                # a text's first line is the count of the line feeds before it, and the texts before it
+                begun = np.cumsum(np.array([0] + [(x or "").count("\n") + 1 for x in texts[lo : hi - 1]]))
+                of = owner[first]
+                arrays = [pa.array(ids[lo:hi][of]), pa.array(t[lo:hi][of]), pa.array((line[first] - begun[of]).astype(np.int32)), pa.array(h1), pa.array(h2)]
+                if prefixes:
+                    place = np.arange(len(key)) - np.repeat(first, n)
+                    length = prefix_length(n, percent)
+                    head = place < np.repeat(length, n)
+                    sign = np.bitwise_or.reduceat(np.left_shift(np.int64(1), (mix(key) % np.uint64(SIGN_BITS)).astype(np.int64)), first)
+                    m = (sign << (2 * LENGTH_BITS)) | (np.minimum(n, (1 << LENGTH_BITS) - 1) << LENGTH_BITS)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(length, n))]).astype(np.int32))
+                    arrays += [pa.array(m), pa.ListArray.from_arrays(offsets, pa.array(key[head].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
@@ -127,40 +132,47 @@ def _alike(percent: int):
                 a, b = (set(s.encode("utf-8", "surrogatepass").lower().split()) for s in (x, y))
                 both = len(a & b)
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["doc_id_x", "u_x"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def place_in_doc():
+def place_in_doc() -> Column:
     """Place of a line in its document: 31 bits of the text's hash, that tell rows of one doc_id apart, and its number."""
     return F.shiftleft(F.col("t").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("line").cast("long"))
 
 
 def later_matches(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Places (doc_id, u) of the classes that an earlier class matches. classes: doc_id, u, n, prefix.
+    """Numbers (cid) of the classes that an earlier class matches. classes: cid, doc_id, u, m, prefix.
 
-    Rows of the join carry a token, the class's first place and one number for its length and the
-    token's position, so both sides are one and the same narrow shuffle.
+    Rows of the join carry a token, the class's number and one long of its signature, length and the token's
+    position, so both sides are one and the same narrow shuffle. Words whose bits differ in two signatures are in one
+    line only, which bounds the overlap as length and position do. Lengths too large for their bits are not used.
     """
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    flat = classes.select("doc_id", "u", "n", F.posexplode("prefix").alias("at", "token")).select("token", "doc_id", "u", packed.alias("m"))
-    side = lambda s: flat.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "u", "m")))
-    n = lambda s: F.shiftright(F.col(f"m_{s}"), 32)
-    at = lambda s: F.col(f"m_{s}").bitwiseAND(F.lit((1 << 32) - 1))
-    earlier = (F.col("doc_id_y") < F.col("doc_id_x")) | ((F.col("doc_id_y") == F.col("doc_id_x")) & (F.col("u_y") < F.col("u_x")))
-    long_enough = F.least(n("x"), n("y")) * 100 >= F.greatest(n("x"), n("y")) * percent
-    room = F.least(n("x") - at("x"), n("y") - at("y")) * (100 + percent) >= (n("x") + n("y")) * percent
-    met = side("x").join(side("y"), "token").where(earlier & long_enough & room)
-    pairs = checkpointed(met.select("doc_id_x", "u_x", "doc_id_y", "u_y").distinct())
-    ends = [pairs.select(F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"u_{s}").alias("u")) for s in "xy"]
-    places = checkpointed(ends[0].union(ends[1]).distinct())
+    full = (1 << LENGTH_BITS) - 1
+    at = F.least(F.col("at"), F.lit(full)).cast("long")
+    flat = classes.select("cid", "m", F.posexplode("prefix").alias("at", "token")).select("token", "cid", F.col("m").bitwiseOR(at).alias("m"))
+    side = lambda s: flat.select("token", F.col("cid").alias(s), F.col("m").alias(f"m_{s}"))
+    n, at = (lambda s, by=by: F.shiftright(F.col(f"m_{s}"), by).bitwiseAND(F.lit(full)) for by in (LENGTH_BITS, 0))
+    apart = F.bit_count(F.shiftrightunsigned(F.col("m_x").bitwiseXOR(F.col("m_y")), 2 * LENGTH_BITS))
+    both = n("x") + n("y")
+    exact = (F.greatest(n("x"), n("y")) < full) & (F.greatest(at("x"), at("y")) < full)
+    # overlap >= t (n_x + n_y) / (1 + t), so the words in one line only are at most (n_x + n_y) (1 - t) / (1 + t)
+    bounds = (F.least(n("x"), n("y")) * 100 >= F.greatest(n("x"), n("y")) * percent) & (apart * (100 + percent) <= both * (100 - percent))
+    room = F.least(n("x") - at("x"), n("y") - at("y")) * (100 + percent) >= both * percent
+    met = side("x").join(side("y"), "token").where((F.col("x") < F.col("y")) & (~exact | (bounds & room)))
+    pairs = checkpointed(met.select("x", "y").distinct())
+    ends = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
+    where = classes.select("cid", "doc_id", "u")
+    places = checkpointed(ends.join(where, "cid"))
     few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
     lines = docs.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line", "value")).select("doc_id", place_in_doc().alias("u"), "value")
-    texts = checkpointed(lines.join(F.broadcast(places) if few else places, ["doc_id", "u"], "left_semi").dropDuplicates(["doc_id", "u"]))
-    of = lambda s: texts.select(F.col("doc_id").alias(f"doc_id_{s}"), F.col("u").alias(f"u_{s}"), F.col("value").alias(f"text_{s}"))
-    full = pairs.join(of("x"), ["doc_id_x", "u_x"]).join(of("y"), ["doc_id_y", "u_y"]).select("doc_id_x", "u_x", "text_x", "text_y")
-    return full.mapInArrow(_alike(percent), "doc_id_x long, u_x long").distinct()
+    texts = checkpointed(lines.join(F.broadcast(places) if few else places, ["doc_id", "u"]).dropDuplicates(["cid"]))
+    of = lambda s: texts.select(F.col("cid").alias(s), F.col("value").alias(f"text_{s}"))
+    alike = pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "text_x", "text_y").mapInArrow(_alike(percent), "x long, y long")
+    spot = lambda s: places.select(F.col("cid").alias(s), F.struct("doc_id", "u").alias(f"at_{s}"))
+    later = alike.join(spot("x"), "x").join(spot("y"), "y").select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("cid"))
+    return later.distinct()
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -174,23 +186,22 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, t long, line int, h1 long, h2 long, n int, prefix array<long>"
-    signed = written(keyed.mapInArrow(_signed(ranks, percent), schema).withColumn("u", place_in_doc()).drop("line"))
-    place = F.struct("doc_id", "u")
-    classes = signed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
-    classes = written(classes.select("h1", "h2", "first.*", "size", "n", "prefix"))
-    later = checkpointed(later_matches(classes.select("doc_id", "u", "n", "prefix"), keyed, percent))
+    lean = "doc_id long, t long, line int, h1 long, h2 long"
+    signed = keyed.mapInArrow(_signed(ranks, percent, True), f"{lean}, m long, prefix array<long>").withColumn("u", place_in_doc())
+    found = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "u")).alias("first"), F.count("*").alias("size"), F.max("m").alias("m"), F.max("prefix").alias("prefix"))
+    classes = written(found.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.*", "size", "m", "prefix"))
+    later = checkpointed(later_matches(classes.select("cid", "doc_id", "u", "m", "prefix"), keyed, percent))
     # a class goes whole if an earlier one matches it, else all of it but its first line
-    whole = later.select(F.col("doc_id_x").alias("doc_id"), F.col("u_x").alias("u"), F.lit(True).alias("whole"))
-    gone = classes.select("h1", "h2", "doc_id", "u", "size").join(whole, ["doc_id", "u"], "left").where("whole or size > 1")
+    gone = classes.select("cid", "h1", "h2", "doc_id", "u", "size").join(later.withColumn("whole", F.lit(True)), "cid", "left").where("whole or size > 1")
     gone = gone.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("u").alias("first_u"), "whole")
-    lost = signed.select("doc_id", "t", "u", "h1", "h2").join(gone, ["h1", "h2"])
+    lost = keyed.mapInArrow(_signed(ranks, percent, False), lean).withColumn("u", place_in_doc()).join(gone, ["h1", "h2"])
     lost = lost.where(F.coalesce("whole", F.lit(False)) | (F.col("doc_id") != F.col("first_doc")) | (F.col("u") != F.col("first_u")))
-    lost = lost.select("doc_id", "t", F.col("u").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line"))
     per_doc = lost.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line")).alias("lost"))
+    per_doc = checkpointed(per_doc)
+    few = (per_doc.agg(F.sum(F.size("lost") + 4)).first()[0] or 0) <= BROADCAST_LOST
     columns = [c for c in docs.columns if c != "removed"]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("d"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("t"))
-    joined = packed.join(per_doc, ["doc_id", "t"], "left")
+    joined = packed.join(F.broadcast(per_doc) if few else per_doc, ["doc_id", "t"], "left")
     whole = F.col("d.text").cast("string")
     kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("lost", i)), "\n")
     text = F.when(F.col("lost").isNull(), whole).otherwise(kept).alias("text")

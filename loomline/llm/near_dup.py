@@ -44,7 +44,7 @@ _MUL = 0x9E3779B97F4A7C15
 _ODD = 0xD1342543DE82EF95
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """A well-mixed 64-bit hash of each value."""
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -53,8 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MUL))
-_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MUL))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -71,23 +70,32 @@ def _power(base: int, n: int) -> np.ndarray:
     return kept
 
 
-def shingle_hashes(texts: list[str | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all texts in order, and how many each text has.
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and line number (counted on over all texts) of every word of all texts, in order.
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer than width words
-    has one shingle, its whole sequence; one without words has none. Each word's hash comes from
-    prefix sums over the bytes, so no word is ever a Python object.
+    Words are runs of anything but ASCII white space, A-Z lower-cased. Each word's hash comes from prefix sums over
+    the bytes, so no word is ever a Python object. A text of k line feeds has k+1 lines.
     """
-    raw = b"".join(b" " + (t or "").encode("utf-8", "surrogatepass").lower().translate(_SPACES) + b" " for t in texts)
-    sizes = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 2 for t in texts], dtype=np.int64)
-    data = np.frombuffer(raw, dtype=np.uint8)
-    blank = data == 32
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", dtype=np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     inverse = pow(_ODD, -1, 1 << 64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * _power(inverse, len(data))[: len(data)], dtype=np.uint64)])
-    word = _mix((sums[ends] - sums[starts]) * _power(_ODD, len(data))[starts] + (ends - starts).astype(np.uint64))
-    owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
+    word = mix((sums[ends] - sums[starts]) * _power(_ODD, len(data))[starts] + (ends - starts).astype(np.uint64))
+    stops = np.cumsum(np.array([len(x) + 1 for x in parts], dtype=np.int64))
+    owner = np.searchsorted(stops, starts - 1, side="right")
+    line = np.searchsorted(np.flatnonzero(data == 10), starts) - 1
+    return word, owner, line
+
+
+def shingle_hashes(texts: list[str | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts in order, and how many each text has.
+
+    A text of fewer than width words has one shingle, its whole sequence; one without words has none.
+    """
+    word, owner, _ = word_hashes(texts)
     n_words = np.bincount(owner, minlength=len(texts))
     if not len(word):
         return word, n_words
@@ -99,7 +107,7 @@ def shingle_hashes(texts: list[str | None], width: int = SHINGLE) -> tuple[np.nd
     full = np.zeros(len(word), np.uint64)
     for k in range(width):
         full += np.where(place + k < count, padded[k : k + len(word)] * salts[k] ^ salts[k], np.uint64(0))
-    full = _mix(full)
+    full = mix(full)
     use = (place + width <= count) | ((count < width) & (place == 0))
     return full[use], np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
 
@@ -120,7 +128,7 @@ def sketch(hashes: np.ndarray, owner: np.ndarray, n: int, m: int = REGISTERS) ->
     for j in range(m):
         if not len(hashes):
             break
-        u = (_mix(hashes + np.uint64((_MUL * (j + 1)) & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        u = (mix(hashes + np.uint64((_MUL * (j + 1)) & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         low, width = gamma[j], (1 - np.exp(-RATE * (gamma[j + 1] - gamma[j])))
         x = low - np.log1p(-u * width) / RATE
         value = np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) * inv_log) + SHIFT, 0, TOP).astype(np.int64)
@@ -149,7 +157,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (qb - np.sqrt(np.maximum(qb * qb - 4 * qa * qc, 0))) / (2 * qa)
 
 
-def _runs(texts: list) -> Iterator[tuple[int, int]]:
+def runs_of(texts: list) -> Iterator[tuple[int, int]]:
     """Slices of about RUN_BYTES of text each."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -167,7 +175,7 @@ def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         ids, texts = frame["doc_id"], frame["text"].tolist()
         texts = [t if isinstance(t, str) else None for t in texts]
-        for lo, hi in _runs(texts):
+        for lo, hi in runs_of(texts):
             hashes, counts = shingle_hashes(texts[lo:hi])
             n = hi - lo
             parts = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
@@ -263,7 +271,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         texts = f["text"].tolist()
-        for lo, hi in _runs(texts):
+        for lo, hi in runs_of(texts):
             hashes, counts = shingle_hashes(texts[lo:hi])
             parts = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
             yield pd.DataFrame({"rep": f["rep"].iloc[lo:hi].to_numpy(), "label": f["label"].iloc[lo:hi].to_numpy(), "h": parts})

@@ -36,16 +36,16 @@ def features(docs: DataFrame) -> DataFrame:
     site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), site("source").alias("host"), site("lang").alias("path"))
     m = measures(plain)
-    n, w = F.col("_w.n_words"), F.col("_w")
+    n, w = F.col("_q.w.n_words"), F.col("_q.w")
     pipes = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r" \| "))
     return m.select(
         "doc_id", "host", "path", n.alias("n_words"),
-        F.least(_share(F.col("_symbols"), n), F.lit(1.0)).alias("symbols"),
-        F.least(_share(F.col("_shout"), n), F.lit(1.0)).alias("shout"),
+        F.least(_share(F.col("_q.symbols"), n), F.lit(1.0)).alias("symbols"),
+        F.least(_share(F.col("_q.shout"), n), F.lit(1.0)).alias("shout"),
         _share(w["n_stop"], n).alias("stop"),
         F.least(_share(w["word_chars"], n), F.lit(30.0)).alias("chars"),
         _share(w["n_repeat_words"], n).alias("repeats"),
-        _share(F.col("_l.n_dup_lines"), F.col("_l.n_lines")).alias("dup_lines"),
+        _share(F.col("_q.l.n_dup_lines"), F.col("_q.l.n_lines")).alias("dup_lines"),
         F.least(_share(pipes, n), F.lit(1.0)).alias("pipes"),
     )
 

@@ -110,13 +110,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.filter(x, lambda y: y.endswith("...") | y.endswith("…"))).cast("long").alias("n_open_lines"),
         )
 
-    return docs.select(
-        "*",
-        let(words(body), counts).alias("_w"),
-        let(worded, of_lines).alias("_l"),
-        F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("_symbols"),
-        F.when(body.contains("!!"), F.regexp_count(body, F.lit(r"\p{Lu}[^\x20\x09-\x0D\p{Ll}]*!!"))).otherwise(0).cast("long").alias("_shout"),
-    )
+    shout = F.when(body.contains("!!"), F.regexp_count(body, F.lit(r"\p{Lu}[^\x20\x09-\x0D\p{Ll}]*!!"))).otherwise(0).cast("long")
+    every = F.struct(let(words(body), counts).alias("w"), let(worded, of_lines).alias("l"), F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("symbols"), shout.alias("shout"))
+    # exploded from an array of one: a filter on a measure then stays above it, else each filter would count anew
+    return docs.select("*", F.explode(F.array(every)).alias("_q"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -129,10 +126,10 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col(f"`{text}`").alias("_text"))
     m = measures(packed, "_text").select(
         "d",
-        *(F.col(f"_w.{c}") for c in ("n_words", "word_chars", "n_stop", "n_repeat_words")),
-        *(F.col(f"_l.{c}") for c in ("n_lines", "n_dup_lines", "n_open_lines")),
-        F.col("_symbols").alias("n_symbols"),
-        F.col("_shout").alias("n_shout"),
+        *(F.col(f"_q.w.{c}") for c in ("n_words", "word_chars", "n_stop", "n_repeat_words")),
+        *(F.col(f"_q.l.{c}") for c in ("n_lines", "n_dup_lines", "n_open_lines")),
+        F.col("_q.symbols").alias("n_symbols"),
+        F.col("_q.shout").alias("n_shout"),
     )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     failed = F.array_compact(F.array(*(F.when(r.fails(), F.lit(r.name)) for r in rules)))
