@@ -5,8 +5,9 @@ rarity: words are counted over the whole corpus, the RANKED most frequent are br
 others are rarer and ordered by hash, so every task has one and the same order. Two lines of similarity t share a token within their
 prefixes of n - ceil(t n) + 1 rarest tokens; lengths and the places of that token bound their overlap.
 
-Lines of equal token sets are one class with its first place in the corpus. Classes are joined, the
-remaining candidates are verified on their words, and a line goes if an earlier one matches it.
+Lines of equal token sets are one class with its first place in the corpus. Classes are joined in rounds, the
+remaining candidates are verified on their words, and a line goes if an earlier one matches it; a line that
+goes needs no further pairs, so large groups of alike lines don't make all of theirs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ RANKED = 200_000
 HELD = 3_000_000
 #: Places of candidate lines, and numbers of lost lines, are broadcast up to so many, else joined by a shuffle.
 BROADCAST_PLACES, BROADCAST_LOST = 500_000, 1_000_000
+#: Rounds of the join: the estimate of the largest group is from one class in COUNTED; groups of up to FEW are met at once.
+COUNTED, FEW, GROWTH = 64, 128, 16
 _RARE = np.uint64(1 << 62)
 #: Bits of a class's number for its length, and of its signature, that a joined row carries.
 LENGTH_BITS, SIGN_BITS = 20, 24
@@ -132,7 +135,7 @@ def _alike(percent: int):
                 a, b = (set(s.encode("utf-8", "surrogatepass").lower().split()) for s in (x, y))
                 both = len(a & b)
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["cid"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -142,37 +145,71 @@ def place_in_doc() -> Column:
     return F.shiftleft(F.col("t").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("line").cast("long"))
 
 
+def _shares(classes: DataFrame) -> list[int]:
+    """Rounds of the join: in each, one class in so many is met; the last meets all.
+
+    The first share is set by the largest group of a token, estimated from one class in COUNTED, so that a group
+    of any size begins with few classes to meet. A wrong estimate costs time only.
+    """
+    heads = classes.where(F.pmod(F.xxhash64("cid"), F.lit(COUNTED)) == 0).select(F.explode("prefix").alias("token"))
+    most = (heads.groupBy("token").count().agg(F.max("count")).first()[0] or 0) * COUNTED
+    shares = [1]
+    while most // shares[-1] > FEW:
+        shares.append(shares[-1] * GROWTH)
+    return shares[::-1]
+
+
 def later_matches(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Numbers (cid) of the classes that an earlier class matches. classes: cid, doc_id, u, m, prefix.
 
+    A class is settled once one earlier match is known, so not all pairs of a group of alike lines are made: each
+    round the open classes meet a growing share of all classes, and the last round meets the others. Of a group
+    of k lines that match with probability p, every round makes O(k / p) pairs.
+
     Rows of the join carry a token, the class's number and one long of its signature, length and the token's
-    position, so both sides are one and the same narrow shuffle. Words whose bits differ in two signatures are in one
-    line only, which bounds the overlap as length and position do. Lengths too large for their bits are not used.
+    position. Words whose bits differ in two signatures are in one line only, which bounds the overlap as
+    length and position do. Lengths too large for their bits are not used.
     """
     full = (1 << LENGTH_BITS) - 1
     at = F.least(F.col("at"), F.lit(full)).cast("long")
-    flat = classes.select("cid", "m", F.posexplode("prefix").alias("at", "token")).select("token", "cid", F.col("m").bitwiseOR(at).alias("m"))
-    side = lambda s: flat.select("token", F.col("cid").alias(s), F.col("m").alias(f"m_{s}"))
-    n, at = (lambda s, by=by: F.shiftright(F.col(f"m_{s}"), by).bitwiseAND(F.lit(full)) for by in (LENGTH_BITS, 0))
+    n, at_ = (lambda s, by=by: F.shiftright(F.col(f"m_{s}"), by).bitwiseAND(F.lit(full)) for by in (LENGTH_BITS, 0))
     apart = F.bit_count(F.shiftrightunsigned(F.col("m_x").bitwiseXOR(F.col("m_y")), 2 * LENGTH_BITS))
     both = n("x") + n("y")
-    exact = (F.greatest(n("x"), n("y")) < full) & (F.greatest(at("x"), at("y")) < full)
+    exact = (F.greatest(n("x"), n("y")) < full) & (F.greatest(at_("x"), at_("y")) < full)
     # overlap >= t (n_x + n_y) / (1 + t), so the words in one line only are at most (n_x + n_y) (1 - t) / (1 + t)
     bounds = (F.least(n("x"), n("y")) * 100 >= F.greatest(n("x"), n("y")) * percent) & (apart * (100 + percent) <= both * (100 - percent))
-    room = F.least(n("x") - at("x"), n("y") - at("y")) * (100 + percent) >= both * percent
-    met = side("x").join(side("y"), "token").where((F.col("x") < F.col("y")) & (~exact | (bounds & room)))
-    pairs = checkpointed(met.select("x", "y").distinct())
-    ends = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
-    where = classes.select("cid", "doc_id", "u")
-    places = checkpointed(ends.join(where, "cid"))
-    few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
+    room = F.least(n("x") - at_("x"), n("y") - at_("y")) * (100 + percent) >= both * percent
     lines = docs.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line", "value")).select("doc_id", place_in_doc().alias("u"), "value")
-    texts = checkpointed(lines.join(F.broadcast(places) if few else places, ["doc_id", "u"]).dropDuplicates(["cid"]))
-    of = lambda s: texts.select(F.col("cid").alias(s), F.col("value").alias(f"text_{s}"))
-    alike = pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "text_x", "text_y").mapInArrow(_alike(percent), "x long, y long")
-    spot = lambda s: places.select(F.col("cid").alias(s), F.struct("doc_id", "u").alias(f"at_{s}"))
-    later = alike.join(spot("x"), "x").join(spot("y"), "y").select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("cid"))
-    return later.distinct()
+    heads = classes.select("cid", "m", "prefix")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        flat = rows.select("cid", "m", F.posexplode("prefix").alias("at", "token"))
+        return flat.select("token", F.col("cid").alias(s), F.col("m").bitwiseOR(at).alias(f"m_{s}"))
+
+    settled = None
+    for share in _shares(classes):
+        met = heads.where(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0)
+        waiting = heads if settled is None else without(heads, settled)
+        # where all meet all, one order of each pair is enough
+        order = F.col("x") < F.col("y") if settled is None and share == 1 else F.col("x") != F.col("y")
+        joined = side(met, "x").join(side(waiting, "y"), "token").where(order & (~exact | (bounds & room)))
+        pairs = checkpointed(joined.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        ends = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
+        places = checkpointed(ends.join(classes.select("cid", "doc_id", "u"), "cid"))
+        few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
+        texts = checkpointed(lines.join(F.broadcast(places) if few else places, ["doc_id", "u"]).dropDuplicates(["cid"]))
+        of = lambda s: texts.select(F.col("cid").alias(s), F.col("value").alias(f"text_{s}"), F.struct("doc_id", "u").alias(f"at_{s}"))  # noqa: B023, E731
+        open_pairs = pairs.join(of("x"), "x").join(of("y"), "y")
+        later = open_pairs.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("cid"), "text_x", "text_y")
+        found = later.mapInArrow(_alike(percent), "cid long").distinct()
+        settled = checkpointed(found if settled is None else found.union(settled).distinct())
+    return settled
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows whose cid is not in gone; the ids are broadcast only if they are few enough."""
+    few = gone.limit(BROADCAST_LOST + 1).count() <= BROADCAST_LOST
+    return rows.join(F.broadcast(gone) if few else gone, "cid", "left_anti")
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -190,7 +227,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = keyed.mapInArrow(_signed(ranks, percent, True), f"{lean}, m long, prefix array<long>").withColumn("u", place_in_doc())
     found = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "u")).alias("first"), F.count("*").alias("size"), F.max("m").alias("m"), F.max("prefix").alias("prefix"))
     classes = written(found.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.*", "size", "m", "prefix"))
-    later = checkpointed(later_matches(classes.select("cid", "doc_id", "u", "m", "prefix"), keyed, percent))
+    later = later_matches(classes.select("cid", "doc_id", "u", "m", "prefix"), keyed, percent)
     # a class goes whole if an earlier one matches it, else all of it but its first line
     gone = classes.select("cid", "h1", "h2", "doc_id", "u", "size").join(later.withColumn("whole", F.lit(True)), "cid", "left").where("whole or size > 1")
     gone = gone.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("u").alias("first_u"), "whole")
