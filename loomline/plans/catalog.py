@@ -268,14 +268,14 @@ def interval_anti(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, chr, at, click FROM (SELECT event_id, user_id AS chr, epoch_us(ts) AS at, event_type, "
+    "SELECT event_id, chr, moment, click FROM (SELECT event_id, user_id AS chr, epoch_us(ts) AS moment, event_type, "
     "max(CASE WHEN event_type = 'click' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS click FROM events) WHERE event_type = 'purchase'"
 )
 def nearest_instance(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("chr"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("chr"), F.unix_micros(F.col("ts").cast("timestamp")).alias("moment"), "event_type")
     buys = rows.where("event_type = 'purchase'").drop("event_type")
-    clicks = rows.where("event_type = 'click'").select("chr", "at", F.col("at").alias("click"))
-    return intervals.asof(buys, clicks, "chr", "at", "click", width=3_600_000_000)
+    clicks = rows.where("event_type = 'click'").select("chr", "moment", F.col("moment").alias("click"))
+    return intervals.asof(buys, clicks, "chr", "moment", "click", width=3_600_000_000)
 
 
 @query("SELECT user_id AS chr, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM events")
