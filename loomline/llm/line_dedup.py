@@ -29,8 +29,8 @@ MIN_WORDS = 5
 RANKED = 200_000
 #: A task emits its counts whenever it holds so many words.
 HELD = 3_000_000
-#: Places of candidate lines, and numbers of lost lines, are broadcast up to so many, else joined by a shuffle.
-BROADCAST_PLACES, BROADCAST_LOST = 500_000, 1_000_000
+#: Places of candidate lines, numbers of lost lines, tokens of a round's share and pairs are broadcast up to so many, else joined by a shuffle.
+BROADCAST_PLACES, BROADCAST_LOST, BROADCAST_HEADS, BROADCAST_PAIRS = 500_000, 1_000_000, 300_000, 300_000
 #: Rounds of the join: the estimate of the largest group is from one class in COUNTED; groups of up to FEW are met at once.
 COUNTED, FEW, GROWTH = 64, 128, 16
 _RARE = np.uint64(1 << 62)
@@ -186,26 +186,41 @@ def later_matches(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
         flat = rows.select("cid", "m", F.posexplode("prefix").alias("at", "token"))
         return flat.select("token", F.col("cid").alias(s), F.col("m").bitwiseOR(at).alias(f"m_{s}"))
 
+    def met(x: DataFrame, y: DataFrame, ordered: bool) -> DataFrame:
+        order = F.col("x") < F.col("y") if ordered else F.col("x") != F.col("y")
+        return x.join(y, "token").where(order & (~exact | (bounds & room))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
     settled = None
     for share in _shares(classes):
-        met = heads.where(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0)
         waiting = heads if settled is None else without(heads, settled)
-        # where all meet all, one order of each pair is enough
-        order = F.col("x") < F.col("y") if settled is None and share == 1 else F.col("x") != F.col("y")
-        joined = side(met, "x").join(side(waiting, "y"), "token").where(order & (~exact | (bounds & room)))
-        pairs = checkpointed(joined.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        ends = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
-        places = checkpointed(ends.join(classes.select("cid", "doc_id", "u"), "cid"))
-        few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
-        texts = checkpointed(lines.join(F.broadcast(places) if few else places, ["doc_id", "u"]).dropDuplicates(["cid"]))
-        of = lambda s: texts.select(F.col("cid").alias(s), F.col("value").alias(f"text_{s}"), F.struct("doc_id", "u").alias(f"at_{s}"))  # noqa: B023, E731
-        open_pairs = pairs.join(of("x"), "x").join(of("y"), "y")
-        later = open_pairs.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("cid"), "text_x", "text_y")
-        found = later.mapInArrow(_alike(percent), "cid long").distinct()
+        if share > 1:
+            some = side(heads.where(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0), "x")
+            few = some.limit(BROADCAST_HEADS + 1).count() <= BROADCAST_HEADS
+            joined = met(F.broadcast(some) if few else some, side(waiting, "y"), False)
+        else:
+            joined = met(side(waiting, "x"), side(waiting, "y"), True)
+            if settled is not None:
+                joined = joined.union(met(side(heads.join(settled, "cid", "left_semi"), "x"), side(waiting, "y"), False))
+        found = verified_later(written(joined.distinct()), classes, lines, percent)
         settled = checkpointed(found if settled is None else found.union(settled).distinct())
     return settled
 
 
+def verified_later(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The later class (cid) of each pair whose lines reach the threshold; lines: doc_id, u, value."""
+    few_pairs = pairs.count() <= BROADCAST_PAIRS
+    ends = checkpointed(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct())
+    few = ends.count() <= BROADCAST_PLACES
+    places = classes.select("cid", "doc_id", "u").join(F.broadcast(ends) if few else ends, "cid")
+    texts = written(lines.join(F.broadcast(places) if few else places, ["doc_id", "u"]))
+    if texts.count() > ends.count():  # rows that repeat wholly
+        texts = written(texts.dropDuplicates(["cid"]))
+    of = lambda s: texts.select(F.col("cid").alias(s), F.col("value").alias(f"text_{s}"), F.struct("doc_id", "u").alias(f"at_{s}"))
+    both = of("y").join(F.broadcast(pairs) if few_pairs else pairs, "y").join(of("x"), "x")
+    later = both.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("cid"), "text_x", "text_y")
+    return later.mapInArrow(_alike(percent), "cid long").distinct()
+
+
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows whose cid is not in gone; the ids are broadcast only if they are few enough."""
     few = gone.limit(BROADCAST_LOST + 1).count() <= BROADCAST_LOST
