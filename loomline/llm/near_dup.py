@@ -306,7 +306,7 @@ def missing_pairs(mixed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (columns doc_id and text).
 
     Links: 100 * intersection >= percent * union of the distinct 5-word shingle sets. component_id is
