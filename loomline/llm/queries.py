@@ -16,9 +16,9 @@ from .decontaminate import decontaminate
 from .html_extract import html_extract
 from .line_dedup import line_dedup
 from .near_dup import near_duplicates
+from .oracles import ORACLES
 from .quality_model import quality_model
 from .quality_rules import quality_rules
-
 from .secret_scan import labelled_findings, secret_scan, train
 from .url_filter import url_filter
 
@@ -97,7 +97,6 @@ QUERIES = {
         op6_quality_rules, op7_line_dedup, op8_secret_scan, op9_bpe, op10_near_duplicates,
     )
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:
