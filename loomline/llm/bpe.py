@@ -160,7 +160,7 @@ def _least_frequent(table: DataFrame) -> int:
 class _Known(dict):
     """Packed ids by word; a word outside gets the mark and is noted."""
 
-    def __init__(self, known: dict[str, bytes]):
+    def __init__(self, known):
         super().__init__(known)
         self.mark, self.rare = np.array([MARK], np.uint16).tobytes(), []
 
@@ -169,11 +169,25 @@ class _Known(dict):
         return self.mark
 
 
+def _as_bytes(table: pa.Table) -> bytes:
+    """table as one Arrow stream, far smaller on the driver than its rows as Python objects."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+@lru_cache(maxsize=1)
+def _known(stream: bytes) -> _Known:
+    table = pa.ipc.open_stream(stream).read_all()
+    return _Known(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
+
+
 def _packed(spec, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, known, pack = _splitter(spec.value), frequent.value, zstandard.ZstdCompressor(level=1).compress
+        words, known, pack = _splitter(spec.value), _known(frequent.value), zstandard.ZstdCompressor(level=1).compress
         look = known.__getitem__
         for batch in batches:
             ids, rare = [], []
@@ -225,8 +239,8 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         spec = context.broadcast(f.read())
     table = word_table(docs, spec)
     least = _least_frequent(table)
-    top = table.where(F.col("n") >= least).select("word", "ids").collect()  # at most FREQUENT rows
-    frequent = context.broadcast(_Known({r.word: bytes(r.ids) for r in top}))
+    top = table.where(F.col("n") >= least).select("word", "ids").toArrow()  # at most FREQUENT rows
+    frequent = context.broadcast(_as_bytes(top))
     text = F.col("text").cast("string")
     kind = docs.schema["doc_id"].dataType
     own = F.col("doc_id").cast("long") if isinstance(kind, IntegralType) else F.xxhash64("doc_id")

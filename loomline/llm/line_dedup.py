@@ -67,8 +67,9 @@ def word_ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if total > RANKED:
             least = n + 1
             break
-    top = sorted((r.n, r.word) for r in table.where(F.col("n") >= least).collect())  # at most RANKED rows
-    word = np.array([w for _, w in top], np.int64).view(np.uint64)
+    top = table.where(F.col("n") >= least).select("n", "word").toArrow()  # at most RANKED rows
+    n, word = (top.column(c).to_numpy() for c in ("n", "word"))
+    word = word[np.lexsort((word, n))].view(np.uint64)
     order = np.argsort(word)
     return word[order], order.astype(np.uint64)
 
