@@ -87,18 +87,32 @@ def fasta_lines(spark, sf_dir):
 
 @query(f"WITH {KMERS} SELECT canon, count(*) AS n, sum(strand)::BIGINT AS strands FROM oriented GROUP BY canon HAVING count(*) > 1")
 def canonical_kmers(spark, sf_dir):
+    return canonical_kmers_all(spark, sf_dir).where("n > 1")
+
+
+@query(f"WITH {KMERS} SELECT canon, count(*) AS n, sum(strand)::BIGINT AS strands FROM oriented GROUP BY canon")
+def canonical_kmers_all(spark, sf_dir):
     k_mers = graph.kmers(seqs_of(spark, sf_dir))
     rc = sq.plain_reverse_complement(F.col("kmer"))
     both = k_mers.select(sq.pack(F.least("kmer", rc)).alias("packed"), F.when(F.col("kmer") < rc, 1).otherwise(-1).alias("strand"))
-    counted = both.groupBy("packed").agg(F.count("*").alias("n"), F.sum("strand").alias("strands")).where("n > 1")
+    counted = both.groupBy("packed").agg(F.count("*").alias("n"), F.sum("strand").alias("strands"))
     return counted.select(sq.unpack(F.col("packed"), K).alias("canon"), "n", "strands")
 
 
+def packed_kmers(k_mers: DataFrame) -> DataFrame:
+    """(canon, packed): every canonical k-mer of k_mers once."""
+    canon = F.least("kmer", sq.plain_reverse_complement(F.col("kmer")))
+    return k_mers.select(canon.alias("canon")).distinct().select("canon", sq.pack(F.col("canon")).alias("packed"))
+
+
 @query(f"WITH {KMERS} SELECT canon, {PACKED} - 1 AS packed FROM (SELECT DISTINCT canon FROM oriented WHERE pos % 256 = 255)")
 def kmer_pack(spark, sf_dir):
-    at = graph.kmers(seqs_of(spark, sf_dir)).where("pos % 256 = 255")
-    canon = F.least("kmer", sq.plain_reverse_complement(F.col("kmer")))
-    return at.select(canon.alias("canon")).distinct().select("canon", sq.pack(F.col("canon")).alias("packed"))
+    return packed_kmers(graph.kmers(seqs_of(spark, sf_dir)).where("pos % 256 = 255"))
+
+
+@query(f"WITH {KMERS} SELECT canon, {PACKED} - 1 AS packed FROM (SELECT DISTINCT canon FROM oriented)")
+def kmer_pack_all(spark, sf_dir):
+    return packed_kmers(graph.kmers(seqs_of(spark, sf_dir)))
 
 
 @query(f"WITH {KMERS} SELECT n AS abundance, count(*) AS kmers FROM (SELECT count(*) AS n FROM oriented GROUP BY canon) GROUP BY n")
@@ -149,9 +163,17 @@ def edges_in(spark, sf_dir):
     'SELECT start, "end", ch, count(*) AS capacity, min(length) AS shortest FROM both_ways GROUP BY start, "end", ch HAVING count(*) > 1'
 )
 def edge_multiplicity(spark, sf_dir):
+    return edge_multiplicity_all(spark, sf_dir).where("capacity > 1")
+
+
+@query(
+    f'WITH {INDEX}, {STEPS}, both_ways AS (SELECT start, "end", ch, length FROM steps UNION ALL SELECT -"end", -start, rev_ch, length FROM steps) '
+    'SELECT start, "end", ch, count(*) AS capacity, min(length) AS shortest FROM both_ways GROUP BY start, "end", ch'
+)
+def edge_multiplicity_all(spark, sf_dir):
     steps = graph.edges(index_of(spark, sf_dir))
     both = steps.union(graph.reversed_edges(steps))
-    return both.groupBy("start", "end", "ch").agg(F.count("*").alias("capacity"), F.min("length").alias("shortest")).where("capacity > 1")
+    return both.groupBy("start", "end", "ch").agg(F.count("*").alias("capacity"), F.min("length").alias("shortest"))
 
 
 @query(f"WITH {STRANDS} SELECT vid, chr, idx, pos, strand, ch FROM occ")
@@ -246,9 +268,17 @@ PARTS = """points AS (SELECT ps.l_suppkey AS chr, ps.l_orderkey AS id, ps.l_part
 windows AS (SELECT s_suppkey AS chr, k AS no, k * 500 + s_suppkey % 100 AS start, k * 500 + s_suppkey % 100 + 200 AS "end" FROM supplier, range(0, 10) t(k))"""
 
 
+WHOLE_PARTS = PARTS.replace("ps.l_orderkey AS id,", "ps.l_orderkey AS id, ps.l_linenumber AS line,").replace(" WHERE ps.l_linenumber = 1", "")
+
+
+def all_points_of(spark, sf_dir: str) -> DataFrame:
+    """Every order line as a point (chr, id, line, pos)."""
+    rows = read(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_suppkey").alias("chr"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") * 11 % 5000).alias("pos"))
+
+
 def points_of(spark, sf_dir: str) -> DataFrame:
-    first = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return first.select(F.col("l_suppkey").alias("chr"), F.col("l_orderkey").alias("id"), (F.col("l_partkey") * 11 % 5000).alias("pos"))
+    return all_points_of(spark, sf_dir).where("line = 1").drop("line")
 
 
 def windows_of(spark, sf_dir: str) -> DataFrame:
@@ -262,11 +292,21 @@ def interval_containment(spark, sf_dir):
     return intervals.containing(points_of(spark, sf_dir), windows_of(spark, sf_dir))
 
 
+@query(f'WITH {WHOLE_PARTS} SELECT p.chr, id, line, pos, no, start, "end" FROM points p JOIN windows w ON p.chr = w.chr AND pos >= start AND pos < "end"')
+def interval_containment_all(spark, sf_dir):
+    return intervals.containing(all_points_of(spark, sf_dir), windows_of(spark, sf_dir))
+
+
 @query(f'WITH {PARTS} SELECT chr, id, pos FROM points p WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE p.chr = w.chr AND pos >= start AND pos < "end")')
 def interval_anti(spark, sf_dir):
     return intervals.outside(points_of(spark, sf_dir), windows_of(spark, sf_dir))
 
 
+@query(f'WITH {WHOLE_PARTS} SELECT chr, id, line, pos FROM points p WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE p.chr = w.chr AND pos >= start AND pos < "end")')
+def interval_anti_all(spark, sf_dir):
+    return intervals.outside(all_points_of(spark, sf_dir), windows_of(spark, sf_dir))
+
+
 @query(
     "SELECT event_id, chr, moment, click FROM (SELECT event_id, user_id AS chr, epoch_us(ts) AS moment, event_type, "
     "max(CASE WHEN event_type = 'click' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS click FROM events) WHERE event_type = 'purchase'"
