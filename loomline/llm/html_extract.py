@@ -2,8 +2,9 @@
 
 Each page is parsed by a small tolerant tree builder. Every text block passes points for its length and
 its commas to its parent and, less, to the ancestors above; a container's points are discounted by the share
-of its text that stands in links. Blocks of the best container and of siblings with enough points are kept
-in page order. Pages are judged one by one inside Arrow batches, so nothing is shuffled.
+of its text that stands in links. A main or sole article element is the container that the page itself names,
+and is taken before any points are judged. Else blocks of the best container, of siblings with enough points or of
+its own tag and class, and all between these are kept, in page order. Pages are judged one by one inside Arrow batches, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,24 +29,31 @@ OFF_WORDS = frozenset(
     "footer header masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social "
     "related recommended recommendations toolbar pagination pager login search tags skip".split()
 )
+#: Of these words, those that also name parts of an article: inside one they count only where links make up half of the text.
+DOUBTFUL_WORDS = frozenset("header masthead banner side tags related recommended notice".split())
+ARTICLES, HEADINGS = ("article", "main"), ("h1", "h2", "h3", "h4", "h5", "h6")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(\bhidden\b)", re.S)
 SPACE = re.compile(r"\s+")
 #: A start of these ends an open p; a start of li, dd, ... ends an open one of its kind.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MIN_CHARS, SIBLING_SHARE, DECAY = 25, 0.2, 0.5
+#: Points of a block of MIN_CHARS outside a p, shorter ones in proportion; and the share of links that settles a doubtful word.
+SHORT_POINTS, DOUBT = 0.25, 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "off", "points", "chars", "links", "depth")
+    __slots__ = ("tag", "parent", "off", "attributes", "doubtful", "points", "chars", "links", "depth")
 
-    def __init__(self, tag: str, parent: "Node | None", off: bool):
-        self.tag, self.parent, self.off = tag, parent, off
+    def __init__(self, tag: str, parent: "Node | None", off: bool, attributes: str = "", doubtful: bool = False):
+        self.tag, self.parent, self.off, self.attributes, self.doubtful = tag, parent, off, attributes, doubtful
         self.points, self.chars, self.links = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _is_off(tag: str, attributes: str, inside_article: bool) -> bool:
+def _is_off(tag: str, attributes: str, inside_article: bool) -> bool | None:
+    """Whether an element holds no article text; None if links must tell."""
+    doubtful = False
     if tag in OFF_TAGS or tag == "header" and not inside_article:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
@@ -57,9 +65,20 @@ def _is_off(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value in OFF_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and OFF_WORDS & set(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        if name in ("class", "id") and tag not in ("html", "body", *ARTICLES):
+            words = OFF_WORDS & set(re.split(r"[^a-z0-9]+", value))
+            if tag in HEADINGS:
+                words -= DOUBTFUL_WORDS
+            if words and not (inside_article and words <= DOUBTFUL_WORDS):
+                return True
+            doubtful = doubtful or bool(words)
+    return None if doubtful else False
+
+
+def _kind(x: Node) -> tuple[str, str]:
+    """Tag and class of an element."""
+    found = (a or b or c for name, a, b, c, _ in ATTRIBUTE.findall(x.attributes) if name.lower() == "class")
+    return x.tag, " ".join(sorted(next(found, "").lower().split()))
 
 
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
@@ -101,7 +120,7 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             flush()
         while at is not x.parent:
             in_link -= at.tag == "a"
-            articles -= at.tag == "article"
+            articles -= at.tag in ARTICLES
             at = at.parent
 
     end = 0
@@ -139,29 +158,59 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             close(SELF_CLOSING[tag], {"ul", "ol", "dl", "table", "select", "menu"})
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        at = Node(tag, at, at.off or _is_off(tag, m[3], articles > 0))
+        off = _is_off(tag, m[3], articles > 0)
+        at = Node(tag, at, at.off or bool(off), m[3], off is None)
         in_link += tag == "a"
-        articles += tag == "article"
+        articles += tag in ARTICLES
     flush()
     return found
 
 
+def _settled(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """found without the blocks of doubtful elements that are mostly links."""
+    chars: dict[int, list[int]] = {}
+    above = []
+    for owner, text, linked in found:
+        x, ids = owner, []
+        while x is not None:
+            if x.doubtful:
+                ids.append(id(x))
+            x = x.parent
+        for i in ids:
+            both = chars.setdefault(i, [0, 0])
+            both[0] += len(text)
+            both[1] += linked
+        above.append(ids)
+    return [f for f, ids in zip(found, above) if all(chars[i][1] < DOUBT * chars[i][0] for i in ids)]
+
+
+def _inside(x: Node | None, of: Node) -> bool:
+    while x is not None and x is not of:
+        x = x.parent
+    return x is of
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, one line a block; empty if there is none."""
     if not page:
         return ""
-    found = blocks_of(page)
+    found = _settled(blocks_of(page))
     if not found:
         return ""
     touched: dict[int, Node] = {}
+    named: dict[int, Node] = {}
     for owner, text, linked in found:
-        points = (1 + text.count(",") + text.count("、") + min(len(text) / 100, 3)) * (1 - linked / len(text)) if len(text) >= MIN_CHARS or owner.tag == "p" else 0.0
-        up, share = owner if owner.tag not in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td") else owner.parent or owner, 1.0
-        x = owner
+        whole = 1 + text.count(",") + text.count("、") + min(len(text) / 100, 3) if len(text) >= MIN_CHARS or owner.tag == "p" else SHORT_POINTS * len(text) / MIN_CHARS
+        points = whole * (1 - linked / len(text))
+        up, share = owner if owner.tag not in ("p", "pre", "blockquote", *HEADINGS, "li", "td") else owner.parent or owner, 1.0
+        x, outer = owner, None
         while x is not None:
             x.chars += len(text)
             x.links += linked
+            outer = x if x.tag in ARTICLES else outer
             x = x.parent
+        if outer is not None:
+            named[id(outer)] = outer
         while up is not None:
             up.points += points * share
             touched[id(up)] = up
@@ -169,28 +218,36 @@ def main_text(page: str | None) -> str:
     density = lambda x: x.links / x.chars if x.chars else 0.0
     score = lambda x: x.points * (1 - density(x))
     best = max(touched.values(), key=lambda x: (score(x), x.depth))
-    if score(best) <= 0:
-        return ""
     # an enclosing article or main is the container that its parts belong to
     x = best
     while x is not None:
-        if x.tag in ("article", "main"):
+        if x.tag in ARTICLES:
             best = x
         x = x.parent
+    mains = [x for x in named.values() if x.tag == "main"]
+    sole = max(mains, key=score) if mains else next(iter(named.values())) if len(named) == 1 else None
+    # a single article beside a container with more text may be a teaser; a main never is
+    if sole is not None and (mains or _inside(sole, best) or sole.chars - sole.links >= best.chars - best.links):
+        best = sole
+    if score(best) <= 0 and best.tag not in ARTICLES:
+        return ""
     keep = {id(best)}
     around = best.parent
-    if around is not None and best.tag not in ("article", "main"):
-        keep |= {id(x) for x in touched.values() if x.parent is around and density(x) < 0.3 and score(x) >= max(2.0, SIBLING_SHARE * score(best))}
-    lines = []
-    for owner, text, _ in found:
+    if around is not None and best.tag not in ARTICLES:
+        like = _kind(best)
+        keep |= {id(x) for x in touched.values() if x.parent is around and density(x) < 0.3 and (score(x) >= max(2.0, SIBLING_SHARE * score(best)) or score(x) > 0 and _kind(x) == like)}
+    chosen, loose = [], []
+    for i, (owner, _, _) in enumerate(found):
         x = owner
         while x is not None and id(x) not in keep:
-            if x.parent is around and around is not None and x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and best.tag not in ("article", "main", "body"):
+            if x.parent is around and around is not None and x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and best.tag not in (*ARTICLES, "body"):
                 break
             x = x.parent
         if x is not None:
-            lines.append(text)
-    return "\n".join(lines)
+            (chosen if id(x) in keep else loose).append(i)
+    # what stands between kept containers belongs to the article, whatever its points
+    between = {i for i in range(chosen[0], chosen[-1]) if around is not None and best.tag not in ARTICLES and _inside(found[i][0], around)} if chosen else set()
+    return "\n".join(found[i][1] for i in sorted({*chosen, *loose, *between}))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
