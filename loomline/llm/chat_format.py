@@ -3,7 +3,8 @@
 An assistant message may be a JSON object with `tool_calls`, each an object with id, name and arguments; a tool
 message may be a JSON object with `tool_call_id` and `content`. Calls and results meet in a hash join by
 conversation and identifier; calls are ordered topologically, as an argument "$id" names another call
-whose result it needs; arguments are checked against the schemas of the tools. Every message becomes one
+whose result it needs; arguments are checked against the schemas of the tools, which are given or derived from
+what most calls of a tool do. Every message becomes one
 line of canonical JSON (sorted keys, no spaces), so a long conversation is never gathered in one task.
 
 Only DataFrame functions run.
@@ -14,12 +15,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, let
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 #: The roles that a message may have.
 ROLES = ("system", "user", "assistant", "tool")
+#: Derived schemas: an argument in so great a share of a tool's calls is required; one in less than the other share, or a type
+#: in less than that share of an argument's values, is unknown.
+REQUIRED, KNOWN = 0.9, 0.05
+#: Numbers of more digits would be rounded by a variant.
+LONG_NUMBER = r"\d[\d.]{38}"
 
 
 def quoted(text: Column) -> Column:
@@ -33,18 +39,36 @@ def canonical(pairs: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def members(text: Column) -> Column:
+    """argument -> value of a JSON object, as variants; null if text is no object or repeats a key."""
+    return F.when(F.ltrim(text).startswith("{"), F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"))
+
+
+def kind(value: Column) -> Column:
+    """STRING, NUMBER, BOOLEAN, ARRAY, OBJECT or VOID."""
+    name = F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit("VOID")), r"^[A-Z]+", 0)
+    return F.when(name.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").otherwise(name)
+
+
 def canonical_arguments(text: Column) -> Column:
-    """The arguments object with its keys sorted; null if text is no JSON object."""
-    values = F.from_json(text, "map<string,string>")
-    keys = F.array_sort(F.map_keys(values))
+    """The arguments object with its keys sorted at every depth; null if text is no JSON object."""
 
-    def member(k):
-        raw = values[k]
+    def member(x, k):
+        raw = x["values"][k]
         bare = raw.rlike(r"\A(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|[\[{].*)\z")
         as_text = F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]").isNotNull() & F.contains(text, F.concat(F.lit('"'), raw, F.lit('"')))
-        return F.concat(quoted(k), F.lit(":"), F.when(raw.isNull(), F.lit("null")).when(bare & ~as_text, raw).otherwise(quoted(raw)))
+        typed = x["members"][k]
+        is_text = F.when(x["members"].isNotNull(), kind(typed) == "STRING").otherwise(as_text)
+        sorted_ = F.when(raw.rlike(r"\A[\[{]") & ~raw.rlike(LONG_NUMBER), F.to_json(F.try_parse_json(raw)))
+        return F.concat(quoted(k), F.lit(":"), F.when(raw.isNull(), F.lit("null")).when(bare & ~is_text, F.coalesce(sorted_, raw)).otherwise(quoted(raw)))
 
-    return F.when(values.isNotNull() & F.ltrim(text).startswith("{"), F.concat(F.lit("{"), F.array_join(F.transform(keys, member), ","), F.lit("}")))
+    def whole(x):
+        keys = F.array_sort(F.map_keys(x["values"]))
+        return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: member(x, k)), ","), F.lit("}"))
+
+    values = F.from_json(text, "map<string,string>")
+    both = F.struct(values.alias("values"), members(text).alias("members"))
+    return F.when(values.isNotNull() & F.ltrim(text).startswith("{"), let(both, whole))
 
 
 def tool_schemas(spark, schemas: dict[str, dict[str, str]]) -> DataFrame:
@@ -53,6 +77,23 @@ def tool_schemas(spark, schemas: dict[str, dict[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, required array<string>, kinds map<string,string>")
 
 
+def derived_schemas(calls: DataFrame) -> DataFrame:
+    """(name, required, kinds) of every tool in calls (name, arguments): its usual arguments and the types of each, by counts over all calls.
+
+    kinds: argument -> pattern of its types; arguments and types that are rare in the tool's calls are left out.
+    """
+    typed = calls.select("name", F.transform_values(members(F.col("arguments")), lambda k, v: kind(v)).alias("m")).where("name is not null and m is not null")
+    totals = typed.groupBy("name").agg(F.count("*").alias("n"))
+    counted = typed.select("name", F.explode("m").alias("argument", "kind")).groupBy("name", "argument", "kind").agg(F.count("*").alias("of_kind"))
+    each = counted.groupBy("name", "argument").agg(F.sum("of_kind").alias("used"), F.collect_list(F.struct("kind", "of_kind")).alias("types"))
+    usual = F.array_join(F.transform(F.filter("types", lambda t: t["of_kind"] >= KNOWN * F.col("used")), lambda t: t["kind"]), "|")
+    known = each.join(totals, "name").where(F.col("used") >= KNOWN * F.col("n"))
+    known = known.select("name", "argument", F.concat(F.lit(r"\A(?:"), usual, F.lit(r")\z")).alias("pattern"), (F.col("used") >= REQUIRED * F.col("n")).alias("must"))
+    tools = known.groupBy("name").agg(F.collect_list(F.when(F.col("must"), F.col("argument"))).alias("required"), F.map_from_entries(F.collect_list(F.struct("argument", "pattern"))).alias("kinds"))
+    none = [F.coalesce("required", F.array().cast("array<string>")).alias("required"), F.coalesce("kinds", F.create_map().cast("map<string,string>")).alias("kinds")]
+    return totals.join(tools, "name", "left").select("name", *none)
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """calls (conv_id, id, needs) with level: 0 without needs, else one over the highest need; null on a cycle.
 
@@ -75,12 +116,13 @@ def levels(calls: DataFrame) -> DataFrame:
         waiting, level = checkpointed(waiting.join(ready, ["conv_id", "id"], "left_anti")), level + 1
 
 
-def chat_format(turns: DataFrame, schemas: dict[str, dict[str, str]] | None = None) -> DataFrame:
+def chat_format(turns: DataFrame, schemas: dict[str, dict[str, str]] | None = None, derived: bool = False) -> DataFrame:
     """(conv_id, turn, level, role, line, n_calls, n_linked, n_valid): each message as a canonical JSON line.
 
     line has content, conv_id, role, tool_calls (each with arguments, id, name) and turn. Messages order by
-    turn, then by level, the topological place of a result's call. Calls with a result are linked; calls whose
-    arguments fit the tool's schema are valid (any JSON object where the tool has none). Calls on a cycle have
+    turn, then by level, the topological place of a result's call. Calls with a result are linked; calls that give
+    all arguments of the tool's schema, each fitting its pattern, and no others are valid (any JSON object where the
+    tool has no schema). With derived, schemas come from the calls themselves, and the types must fit. Calls on a cycle have
     a null level. Null roles become user, unknown roles too; null texts are empty; a null conv_id or turn stays
     and is left out of the line; repeated rows give repeated lines; an identifier that repeats in a
     conversation counts once, by its least name and arguments. An empty table gives an empty one.
@@ -99,9 +141,14 @@ def chat_format(turns: DataFrame, schemas: dict[str, dict[str, str]] | None = No
     results = base.where("r.tool_call_id is not null").select("conv_id", F.col("r.tool_call_id").alias("id")).distinct()
     needs = F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(r'"\$([^"]+)"'), F.lit(1))
     order = levels(calls.select("conv_id", "id", F.array_distinct(needs).alias("needs")))
-    tools = F.broadcast(tool_schemas(spark, schemas or {}))  # as many rows as tools were given
-    values = F.from_json("arguments", "map<string,string>")
-    fits = F.forall("required", lambda a: F.coalesce(F.regexp_like(values[a], F.col("kinds")[a]), F.lit(False)))
+    if derived:
+        tools = derived_schemas(calls)
+        values = F.transform_values(members(F.col("arguments")), lambda k, v: kind(v))
+    else:
+        tools = F.broadcast(tool_schemas(spark, schemas or {}))  # as many rows as tools were given
+        values = F.from_json("arguments", "map<string,string>")
+    present = F.forall("required", lambda a: F.map_contains_key(values, a))
+    fits = F.coalesce(present & F.forall(F.map_keys(values), lambda a: F.coalesce(F.regexp_like(values[a], F.col("kinds")[a]), F.lit(False))), F.lit(False))
     valid = canonical_arguments(F.col("arguments")).isNotNull() & (F.col("required").isNull() | fits)
     checked = calls.join(tools, "name", "left").select("conv_id", "id", F.coalesce(valid, F.lit(False)).alias("valid"))
     linked = checked.join(results.withColumn("linked", F.lit(True)), ["conv_id", "id"], "left").join(order, ["conv_id", "id"])

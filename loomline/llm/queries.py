@@ -47,7 +47,7 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format(read(spark, sf_dir, "conversations"))
+    return chat_format(read(spark, sf_dir, "conversations"), derived=True)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
