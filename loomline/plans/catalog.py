@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from loomline.functions import sequence as sq
 from loomline.operators import components as cc
 from loomline.operators import graph, intervals, seeds
+from loomline.sources import formats
 from loomline.sources.adapters import document_sequences, event_sequences, read
 
 K = graph.K
@@ -85,6 +86,12 @@ def fasta_lines(spark, sf_dir):
     return seqs_of(spark, sf_dir).select("chr", sq.is_definite(F.col("seq")).alias("definite"), lines[0].alias("first_line"), F.when(F.col("size") > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"))
 
 
+@query(f"WITH {SEQS} SELECT name, md5(concat('>', name, chr(10), rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)))) AS record_md5 FROM seqs")
+def fasta_records(spark, sf_dir):
+    records = formats.fasta_lines(seqs_of(spark, sf_dir))
+    return records.select(F.regexp_extract("value", r"\A>([^\n]*)", 1).alias("name"), F.md5("value").alias("record_md5"))
+
+
 @query(f"WITH {KMERS} SELECT canon, count(*) AS n, sum(strand)::BIGINT AS strands FROM oriented GROUP BY canon HAVING count(*) > 1")
 def canonical_kmers(spark, sf_dir):
     return canonical_kmers_all(spark, sf_dir).where("n > 1")

@@ -1,9 +1,12 @@
 """Queries over whole tables: they equal their SQL and keep the rows that the sampled queries leave out."""
 
+import hashlib
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loomline.plans import catalog
 
 AT = "/root/testdata/sf0.001"
 #: Whole query and the sampled one it completes.
@@ -29,3 +32,13 @@ def test_whole_query(spark, name, sampled):
     print(name, part.count(), len(got))
     assert part.count() < len(got)
     assert part.join(df, part.columns, "left_anti").count() == 0
+
+
+def test_whole_fasta_records(spark):
+    df = entry.queries()["fasta_records"](spark, AT)
+    got = sorted(repr(tuple(r)) for r in df.select("name", "record_md5").collect())
+    assert got == expected("fasta_records", ["name", "record_md5"])
+    # every line is in the record, not only the first
+    whole = {r.name: r.seq for r in catalog.seqs_of(spark, AT).select("name", "seq").collect()}
+    records = {f">{n}\n" + "\n".join(s[i : i + 80] for i in range(0, len(s), 80)) for n, s in whole.items()}
+    assert sorted(hashlib.md5(x.encode()).hexdigest() for x in records) == sorted(r.record_md5 for r in df.collect())
