@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .shared import numbered
+
 
 def binned(intervals: DataFrame, width: int) -> DataFrame:
     """intervals (chr, start, end, ...) once for every bin that they touch; empty ones are dropped."""
@@ -90,11 +92,5 @@ def trimmed(instances: DataFrame, least: int) -> DataFrame:
 
 
 def renumbered(blocks: DataFrame) -> DataFrame:
-    """(block, block_id): blocks (block, n) numbered from 1 by n descending, then block.
-
-    Numbers run within each n and are shifted by the counts of the greater ones: there are few values of n.
-    """
-    counts = blocks.groupBy("n").agg(F.count("*").alias("size"))
-    shift = counts.select("n", F.coalesce(F.sum("size").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    own = F.row_number().over(Window.partitionBy("n").orderBy("block"))
-    return blocks.join(F.broadcast(shift), "n").select("block", (F.col("shift") + own).alias("block_id"))
+    """(block, block_id): blocks (block, n) numbered from 1 by n descending, then block."""
+    return numbered(blocks.select(F.col("block"), "n"), [F.desc("n"), F.asc("block")], "block_id").select("block", "block_id")

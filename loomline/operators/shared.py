@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -15,6 +17,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def hinted(df: DataFrame, rows: int):
     """broadcast(df) if it has at most so many rows, else df; df should be cheap to count."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with name, their ordinal from 1 by order, columns whose values no two rows share.
+
+    Rows are dealt by ranges of order and numbered within each; ranges are shifted by the counts of those before.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # cut from its lineage, as a second run might draw other ranges
+    dealt = checkpointed(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").select(*rows.columns, (F.col("_before") + F.col("_own")).cast("long").alias(name))

@@ -327,9 +327,18 @@ def nearest_instance(spark, sf_dir):
 
 @query("SELECT user_id AS chr, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM events")
 def event_steps(spark, sf_dir):
-    order = Window.partitionBy("chr").orderBy("ts", "event_id")
-    rows = event_sequences(read(spark, sf_dir, "events"))
-    return rows.select("chr", "event_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), F.lead("event_id").over(order).alias("next_id"))
+    """Ordinals and next events within an hour, shifted by the counts of a user's earlier hours, so that no history is sorted whole."""
+    rows = event_sequences(read(spark, sf_dir, "events")).select("chr", "event_id", "ts")
+    hour = F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000), F.lit(-(1 << 62)))
+    rows = rows.withColumn("hour", hour)
+    here = Window.partitionBy("chr", "hour").orderBy("ts", "event_id")
+    own = rows.select("chr", "hour", "event_id", F.row_number().over(here).alias("own"), F.lead("event_id").over(here).alias("near"))
+    counts = rows.groupBy("chr", "hour").agg(F.count("*").alias("n"), F.min(F.struct("ts", "event_id")).alias("first"))
+    hours = Window.partitionBy("chr").orderBy("hour")
+    before = F.coalesce(F.sum("n").over(hours.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(F.col("chr").alias("user"), F.col("hour").alias("at"), "n", before.alias("before"), F.lead(F.col("first.event_id")).over(hours).alias("far"))
+    both = own.join(shifts, F.col("chr").eqNullSafe(F.col("user")) & (F.col("hour") == F.col("at")))
+    return both.select("chr", "event_id", (F.col("before") + F.col("own") - 1).cast("long").alias("idx"), F.when(F.col("own") == F.col("n"), F.col("far")).otherwise(F.col("near")).alias("next_id"))
 
 
 from loomline.plans import block_queries  # noqa: E402, F401  registers the queries of blocks and formats
