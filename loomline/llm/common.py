@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Session setting that removes the shuffle files of a finished execution.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,21 +36,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a default only where it names none."""
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of steps that run within go as soon as the step's result is in the shared folder."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidied(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a compressed table in the shared folder, for results that are large as plain rows."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidied(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -1,13 +1,16 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
-A line's tokens are its distinct words, as 64-bit hashes made for whole batches at a time. Tokens are ordered by
-rarity: words are counted over the whole corpus, the RANKED most frequent are broadcast with their rank, all
-others are rarer and ordered by hash, so every task has one and the same order. Two lines of similarity t share a token within their
-prefixes of n - ceil(t n) + 1 rarest tokens; lengths and the places of that token bound their overlap.
-
-Lines of equal token sets are one class with its first place in the corpus. Classes are joined in rounds, the
-remaining candidates are verified on their words, and a line goes if an earlier one matches it; a line that
-goes needs no further pairs, so large groups of alike lines don't make all of theirs.
+1. Words are counted over the whole corpus in a table of hashed slots whose size is fixed; words that meet in a slot
+   count together. The slots' counts, on a logarithmic scale of one byte, are broadcast: a line's tokens
+   (its distinct words as hashes) are ordered by that scale, then by hash, so every task has the same order by rarity.
+2. Two lines of similarity t share a token within their prefixes of n - ceil(t n) + 1 rarest tokens, and the shorter
+   one within its first n - ceil(2 t n / (1 + t)) + 1. Words that occur once in the corpus come first and can match nothing:
+   they take up places of a prefix but are not joined, and a line whose prefix they fill is dropped at once.
+3. Lines of equal token sets are one class, named by its first place in the corpus. Classes meet by token; lengths, the
+   token's places and the parity signatures of both sets bound their overlap.
+4. Of each line's candidates the likeliest earlier one is verified on its words first; only lines that it doesn't settle
+   have all others verified. Tokens of large groups are met by a growing share of the classes before, so
+   that a group of k alike lines doesn't make all its pairs.
 """
 
 from __future__ import annotations
@@ -18,214 +21,322 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import checkpointed, written
-from .near_dup import mix, runs_of, word_hashes
+from .common import checkpointed, let, written
+from .near_dup import CACHED_BYTES, mix, runs_of, word_hashes
 
 PERCENT = 80
 #: Lines of fewer distinct words are never removed.
 MIN_WORDS = 5
-#: Words in the broadcast rank table, at most (16 bytes each).
-RANKED = 200_000
-#: A task emits its counts whenever it holds so many words.
-HELD = 3_000_000
-#: Places of candidate lines, numbers of lost lines, tokens of a round's share and pairs are broadcast up to so many, else joined by a shuffle.
-BROADCAST_PLACES, BROADCAST_LOST, BROADCAST_HEADS, BROADCAST_PAIRS = 500_000, 1_000_000, 300_000, 300_000
-#: Rounds of the join: the estimate of the largest group is from one class in COUNTED; groups of up to FEW are met at once.
-COUNTED, FEW, GROWTH = 64, 128, 16
-_RARE = np.uint64(1 << 62)
-#: Bits of a class's number for its length, and of its signature, that a joined row carries.
-LENGTH_BITS, SIGN_BITS = 20, 24
+#: Slots of the table of word counts (one byte each when broadcast, 16 MB), and the parts in which it is added up.
+SLOT_BITS, RANGES = 24, 64
+#: Words counted at once, and partitions of which the parts are added up in one step.
+HELD, ONE_STEP = 1_000_000, 512
+#: A token is its word's place on the scale of counts and so many bits of its hash.
+TOKEN_BITS = 40
+#: A joined row's signature, whether its token leads, length and token place share one long; lengths too large for their bits are not
+#: used as bounds. Lines of so many words or more have 64 or 128 more bits of signature in longs of their own, which are 0 for others.
+SIGN_BITS, LENGTH_BITS, LONG, LONGER = 39, 12, 40, 110
+FULL, LEADS = (1 << LENGTH_BITS) - 1, 1 << 2 * LENGTH_BITS
+#: Places of candidate lines, lost lines and rows of a round's share that are broadcast at most (8 to 32 bytes each), else a shuffle joins them.
+BROADCAST_PLACES, BROADCAST_LOST, BROADCAST_HEADS = 2_000_000, 500_000, 300_000
+#: Large groups: alike lines are estimated from one class in COUNTED, of which a token's group tries TRIED or about so many; groups of up to
+#: FEW alike lines are met at once.
+COUNTED, TRIED, FEW, GROWTH = 16, 512, 2048, 16
+
+
+# Words and their rarity
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
+    """The counts of a partition's words by slot, as one compressed row a range of slots."""
+    import zstandard
 
-    def out():
-        word, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+    table, held, size = np.zeros(1 << SLOT_BITS, np.uint32), [], 0
+
+    def add():
+        slot, n = np.unique(np.concatenate(held), return_counts=True)
+        table[slot] += n.astype(np.uint32)
 
-    size = 0
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        for lo, hi in runs_of(texts):
-            held.append(word_hashes(texts[lo:hi])[0])
+        for lo, hi in runs_of(texts, CACHED_BYTES):
+            held.append((word_hashes(texts[lo:hi])[0] >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
             size += len(held[-1])
             if size >= HELD:
-                yield out()
+                add()
                 held, size = [], 0
     if held:
-        yield out()
+        add()
+    pack = zstandard.ZstdCompressor(level=1).compress
+    parts = [(i, pack(part.astype(np.int64).tobytes())) for i, part in enumerate(table.reshape(RANGES, -1)) if part.any()]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["range", "n"])
 
 
-def word_ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of at most RANKED words and their ranks by count, the most frequent last."""
-    table = written(docs.select(F.col("text").cast("string")).mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    least, total = 1, 0
-    for n, words in table.groupBy("n").count().orderBy(F.desc("n")).limit(RANKED).collect():
-        total += words
-        if total > RANKED:
-            least = n + 1
-            break
-    top = table.where(F.col("n") >= least).select("n", "word").toArrow()  # at most RANKED rows
-    n, word = (top.column(c).to_numpy() for c in ("n", "word"))
-    word = word[np.lexsort((word, n))].view(np.uint64)
-    order = np.argsort(word)
-    return word[order], order.astype(np.uint64)
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all rows of each range; rows stream through, only the sums are held."""
+    import zstandard
 
+    unpack, sums = zstandard.ZstdDecompressor().decompress, {}
+    for batch in batches:
+        for i, x in zip(batch.column("range").to_pylist(), batch.column("n")):
+            n = np.frombuffer(unpack(x.as_py()), np.int64)
+            sums[i] = sums[i] + n if i in sums else n
+    pack = zstandard.ZstdCompressor(level=1).compress
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x.tobytes()) for x in sums.values()], pa.binary())], ["range", "n"])
 
-def prefix_length(n, percent: int):
-    return n + (-percent * n) // 100 + 1
 
+def rarity(docs: DataFrame) -> np.ndarray:
+    """The scale of every slot: 0 if no word falls there, 1 if the count is one, then four steps a doubling."""
+    import zstandard
+
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(_counted, "range int, n binary")
+    if docs.rdd.getNumPartitions() > ONE_STEP:
+        parts = parts.repartition(RANGES * 16, "range", F.spark_partition_id() % 64).mapInArrow(_added, "range int, n binary")
+    found = parts.repartition(RANGES, "range").mapInArrow(_added, "range int, n binary").toArrow()  # RANGES rows, whatever the input
+    scale = np.zeros(1 << SLOT_BITS, np.uint8)
+    for i, x in zip(found.column("range").to_pylist(), found.column("n").to_pylist()):
+        n = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64)
+        scale.reshape(RANGES, -1)[i] = np.where(n <= 1, n, np.minimum(2 + (4 * np.log2(np.maximum(n, 1))).astype(np.int64), 127))
+    return scale
 
-def _sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, first) if len(first) else np.zeros(0, values.dtype)
+
+# Lines as token sets
+
+
+def prefix_length(n, percent: int):
+    return n + (-percent * n) // 100 + 1
 
 
-def _signed(ranks, percent: int, prefixes: bool):
-    """doc_id, t, line, h1, h2 of every line long enough, and with prefixes its packed length and signature and its prefix."""
+def index_length(n, percent: int):
+    """The prefix of the shorter of two lines."""
+    return n + (-2 * percent * n) // (100 + percent) + 1
+
+
+def _spread(lines: np.ndarray, key: np.ndarray, percent: int):
+    """For each line (lines in order, a key a word): line, h1, h2 (0 where a word occurs once in the corpus), m, more, most, lead and its prefix."""
+    base, kept = 0, []
+    step = 1 << (64 - TOKEN_BITS - 7)
+    while base < len(lines):
+        low = int(lines[base])
+        end = int(np.searchsorted(lines, low + step))
+        both = np.sort((lines[base:end] - low).astype(np.uint64) << np.uint64(TOKEN_BITS + 7) | key[base:end])
+        base = end
+        both = both[np.append(True, both[1:] != both[:-1])]
+        line, token = both >> np.uint64(TOKEN_BITS + 7), both & np.uint64((1 << (TOKEN_BITS + 7)) - 1)
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        n = np.diff(np.append(first, len(line)))
+        alone = np.add.reduceat((token >> np.uint64(TOKEN_BITS) == 1).astype(np.int64), first)
+        length = prefix_length(n, percent)
+        use = (n >= MIN_WORDS) & (alone < length)
+        if not use.any():
+            continue
+        hashed = mix(token)
+        h1 = np.add.reduceat(hashed, first)
+        h2 = np.add.reduceat((hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F), first)
+        width = np.uint64(SIGN_BITS) + np.uint64(64) * ((n >= LONG).astype(np.uint64) + (n >= LONGER))
+        cell = hashed % np.repeat(width, n)
+        bit = np.left_shift(np.uint64(1), np.where(cell < SIGN_BITS, cell, (cell - np.uint64(SIGN_BITS)) & np.uint64(63)))
+        part = np.where(cell < SIGN_BITS, 0, 1 + (cell >= SIGN_BITS + 64))
+        sign, more, most = (np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), first) for k in range(3))
+        bits = np.minimum(n, FULL).astype(np.uint64) << np.uint64(LENGTH_BITS) | np.minimum(alone, FULL).astype(np.uint64)
+        m = sign << np.uint64(2 * LENGTH_BITS + 1) | bits
+        lead = np.where(n < FULL, np.maximum(index_length(n, percent) - alone, 0), length - alone)
+        # of each line in use the places from its words that occur once to the end of its prefix
+        begin, size = (first + alone)[use], (length - alone)[use]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        one = alone[use] > 0
+        kept.append((line[first][use].astype(np.int64) + low, np.where(one, 0, h1[use]), np.where(one, 0, h2[use]), m[use], more[use], most[use], lead[use], size, token[at]))
+    return [np.concatenate(x) for x in zip(*kept)] if kept else None
+
+
+def _signed(scale, percent: int):
+    """doc_id, u, h1, h2, m, more, most, lead and prefix of every line that may have a match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = ranks.value
-        names = ["doc_id", "t", "line", "h1", "h2"] + ["m", "prefix"] * prefixes
+        rare = scale.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
             ids, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for lo, hi in runs_of(texts):
+            for lo, hi in runs_of(texts, CACHED_BYTES):
                 word, owner, line = word_hashes(texts[lo:hi])
-                key = word >> np.uint64(2)
-                if len(known) and len(word):
-                    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                    key = np.where(known[at] == word, _RARE + rank[at], key)
-                order = np.lexsort((key, line))
-                key, line, owner = key[order], line[order], owner[order]
-                fresh = np.ones(len(key), bool)
-                fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-                key, line, owner = key[fresh], line[fresh], owner[fresh]
-                first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(line)))
-                use = np.repeat(n >= MIN_WORDS, n)
-                key, line, owner = key[use], line[use], owner[use]
-                n = n[n >= MIN_WORDS]
-                first = np.cumsum(n) - n
-                if not len(n):
+                if not len(word):
                     continue
-                h1, h2 = (_sum_by(mix(key * np.uint64(k) + np.uint64(k)), first).view(np.int64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+                code = rare[word >> np.uint64(64 - SLOT_BITS)].astype(np.uint64)
+                found = _spread(line, code << np.uint64(TOKEN_BITS) | word & np.uint64((1 << TOKEN_BITS) - 1), percent)
+                if found is None:
+                    continue
+                line_of, h1, h2, m, more, most, lead, size, token = found
                 # a text's first line is the count of the line feeds before it, and the texts before it
-                begun = np.cumsum(np.array([0] + [(x or "").count("\n") + 1 for x in texts[lo : hi - 1]]))
-                of = owner[first]
-                arrays = [pa.array(ids[lo:hi][of]), pa.array(t[lo:hi][of]), pa.array((line[first] - begun[of]).astype(np.int32)), pa.array(h1), pa.array(h2)]
-                if prefixes:
-                    place = np.arange(len(key)) - np.repeat(first, n)
-                    length = prefix_length(n, percent)
-                    head = place < np.repeat(length, n)
-                    sign = np.bitwise_or.reduceat(np.left_shift(np.int64(1), (mix(key) % np.uint64(SIGN_BITS)).astype(np.int64)), first)
-                    m = (sign << (2 * LENGTH_BITS)) | (np.minimum(n, (1 << LENGTH_BITS) - 1) << LENGTH_BITS)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(length, n))]).astype(np.int32))
-                    arrays += [pa.array(m), pa.ListArray.from_arrays(offsets, pa.array(key[head].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                begun = np.cumsum(np.array([0] + [(x or "").count("\n") + 1 for x in texts[lo:hi]]))
+                of = np.searchsorted(begun, line_of, side="right") - 1
+                u = t[lo:hi][of] << 32 | line_of - begun[of]
+                none = (h1 == 0) & (h2 == 0)
+                hashes = [pa.array(x.view(np.int64), mask=none) for x in (h1, h2)]
+                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(token.view(np.int64)))
+                arrays = [pa.array(ids[lo:hi][of]), pa.array(u), *hashes, pa.array(m.view(np.int64)), pa.array(more.view(np.int64)), pa.array(most.view(np.int64)), pa.array(lead.astype(np.int32)), prefix]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "u", "h1", "h2", "m", "more", "most", "lead", "prefix"])
 
     return run
 
 
-def _alike(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("text_x").to_pylist(), batch.column("text_y").to_pylist()):
-                a, b = (set(s.encode("utf-8", "surrogatepass").lower().split()) for s in (x, y))
-                both = len(a & b)
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["cid"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+# The join
 
 
-def place_in_doc() -> Column:
-    """Place of a line in its document: 31 bits of the text's hash, that tell rows of one doc_id apart, and its number."""
-    return F.shiftleft(F.col("t").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("line").cast("long"))
+def _few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
 
 
-def _shares(classes: DataFrame) -> list[int]:
-    """Rounds of the join: in each, one class in so many is met; the last meets all.
+def _hinted(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if _few(df, most) else df
 
-    The first share is set by the largest group of a token, estimated from one class in COUNTED, so that a group
-    of any size begins with few classes to meet. A wrong estimate costs time only.
-    """
-    heads = classes.where(F.pmod(F.xxhash64("cid"), F.lit(COUNTED)) == 0).select(F.explode("prefix").alias("token"))
-    most = (heads.groupBy("token").count().agg(F.max("count")).first()[0] or 0) * COUNTED
-    shares = [1]
-    while most // shares[-1] > FEW:
-        shares.append(shares[-1] * GROWTH)
-    return shares[::-1]
 
+def _rows(classes: DataFrame, s: str) -> DataFrame:
+    """A row for each prefix token of classes: token, and the class's place and packed bounds with suffix s."""
+    # with each token the low bits of the one before it, 0 for the first
+    both = F.transform("prefix", lambda x, i: F.struct(x.alias("token"), F.coalesce(F.get("prefix", i - 1).bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0).cast("long")).alias("prior")))
+    flat = classes.select("doc_id", "u", "m", "more", "most", "lead", F.posexplode(both).alias("k", "x"))
+    at = F.least(F.col("k").cast("long"), FULL - F.col("m").bitwiseAND(F.lit(FULL)))
+    m = F.col("m") + at + F.when(F.col("k") < F.col("lead"), F.lit(LEADS)).otherwise(0)
+    return flat.select("x.token", F.col("x.prior").alias(f"prior_{s}"), F.col("doc_id").alias(f"d_{s}"), F.col("u").alias(f"u_{s}"), m.alias(f"m_{s}"), F.col("more").alias(f"more_{s}"), F.col("most").alias(f"most_{s}"))
 
-def later_matches(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Numbers (cid) of the classes that an earlier class matches. classes: cid, doc_id, u, m, prefix.
 
-    A class is settled once one earlier match is known, so not all pairs of a group of alike lines are made: each
-    round the open classes meet a growing share of all classes, and the last round meets the others. Of a group
-    of k lines that match with probability p, every round makes O(k / p) pairs.
+def _met(index: DataFrame, probe: DataFrame, percent: int, later: str | None = None, keep: str | None = None) -> DataFrame:
+    """Pairs (xd, xu) before (yd, yu) that bounds allow, and apart, the least number of words in one of them only.
 
-    Rows of the join carry a token, the class's number and one long of its signature, length and the token's
-    position. Words whose bits differ in two signatures are in one line only, which bounds the overlap as
-    length and position do. Lengths too large for their bits are not used.
+    Of the shorter line, which index has, only tokens that lead are met. Both sides are the same rows where a table meets
+    itself, so that they are shuffled once. later: the side ("i" or "p") whose line must be the later one. keep: a column
+    of both to keep.
     """
-    full = (1 << LENGTH_BITS) - 1
-    at = F.least(F.col("at"), F.lit(full)).cast("long")
-    n, at_ = (lambda s, by=by: F.shiftright(F.col(f"m_{s}"), by).bitwiseAND(F.lit(full)) for by in (LENGTH_BITS, 0))
-    apart = F.bit_count(F.shiftrightunsigned(F.col("m_x").bitwiseXOR(F.col("m_y")), 2 * LENGTH_BITS))
-    both = n("x") + n("y")
-    exact = (F.greatest(n("x"), n("y")) < full) & (F.greatest(at_("x"), at_("y")) < full)
-    # overlap >= t (n_x + n_y) / (1 + t), so the words in one line only are at most (n_x + n_y) (1 - t) / (1 + t)
-    bounds = (F.least(n("x"), n("y")) * 100 >= F.greatest(n("x"), n("y")) * percent) & (apart * (100 + percent) <= both * (100 - percent))
-    room = F.least(n("x") - at_("x"), n("y") - at_("y")) * (100 + percent) >= both * percent
-    lines = docs.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line", "value")).select("doc_id", place_in_doc().alias("u"), "value")
-    heads = classes.select("cid", "m", "prefix")
-
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        flat = rows.select("cid", "m", F.posexplode("prefix").alias("at", "token"))
-        return flat.select("token", F.col("cid").alias(s), F.col("m").bitwiseOR(at).alias(f"m_{s}"))
-
-    def met(x: DataFrame, y: DataFrame, ordered: bool) -> DataFrame:
-        order = F.col("x") < F.col("y") if ordered else F.col("x") != F.col("y")
-        return x.join(y, "token").where(order & (~exact | (bounds & room))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-
+    n, at = (lambda s, by=by: F.shiftright(F.col(f"m_{s}"), by).bitwiseAND(F.lit(FULL)) for by in (LENGTH_BITS, 0))
+    mixed = ((n("i") < LONG) & (n("p") >= LONG)) | ((n("i") < LONGER) & (n("p") >= LONGER))
+    differ = lambda c: F.col(f"{c}_i").bitwiseXOR(F.col(f"{c}_p"))
+    apart = F.bit_count(F.shiftrightunsigned(differ("m"), 2 * LENGTH_BITS + 1)) + F.bit_count(differ("more")) + F.bit_count(differ("most"))
+    first = (F.col("d_i") < F.col("d_p")) | ((F.col("d_i") == F.col("d_p")) & (F.col("u_i") < F.col("u_p")))
+    both = n("i") + n("p")
+    # overlap >= t (n_i + n_p) / (1 + t), so the words in one line only are at most (n_i + n_p) (1 - t) / (1 + t)
+    bounds = (n("i") * 100 >= n("p") * percent) & (F.least(n("i") - at("i"), n("p") - at("p")) * (100 + percent) >= both * percent) & (mixed | (apart * (100 + percent) <= both * (100 - percent)))
+    shorter = (n("i") < n("p")) | ((n("i") == n("p")) & first)
+    # lines whose tokens before are equal too have met by these: of a run of common tokens the first is enough
+    run_on = (F.col("prior_i") == F.col("prior_p")) & (F.col("prior_i") != 0)
+    allowed = (F.col("m_i").bitwiseAND(F.lit(LEADS)) != 0) & shorter & ~run_on & ((n("p") == FULL) | bounds)
+    if later:
+        allowed &= ~first if later == "i" else first
+    ends = [F.when(first, F.col(f"{c}_{a}")).otherwise(F.col(f"{c}_{b}")).alias(f"{name}{c}") for name, a, b in (("x", "i", "p"), ("y", "p", "i")) for c in "du"]
+    return index.join(probe, "token").where(allowed).select(*([keep] if keep else []), *ends, F.when(mixed, 0).otherwise(apart).alias("apart"))
+
+
+def _met_by(some: DataFrame, rows: DataFrame, percent: int, later: tuple[str, str], only: DataFrame | None = None) -> DataFrame:
+    """Pairs of a line of some (few classes) and one of rows, either being the shorter; later: the later one's side, by some's."""
+    found = []
+    for s, o, side in (("i", "p", later[0]), ("p", "i", later[1])):
+        few, many = (_rows(x, z) if only is None else _rows(x, z).join(only, "token", "left_semi") for x, z in ((some, s), (rows, o)))
+        few = _hinted(few, BROADCAST_HEADS)
+        found.append(_met(few, many, percent, side) if s == "i" else _met(many, few, percent, side))
+    return found[0].union(found[1])
+
+
+def _hot(classes: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """Tokens whose groups seem to have more than FEW lines alike, and the largest estimate. A wrong one costs time only.
+
+    A sample of a group meets itself: of k lines alike the share's square of k^2 / 2 pairs pass the bounds.
+    """
+    some = written(_rows(classes.where(F.pmod(F.xxhash64("doc_id", "u"), F.lit(COUNTED)) == 0), "i"))
+    large = checkpointed(some.groupBy("token").count().where(F.col("count") * COUNTED > FEW).select("token", F.ceil(F.col("count") / TRIED).alias("thin")))
+    tried = some.join(_hinted(large, BROADCAST_HEADS), "token").where(F.pmod(F.xxhash64("d_i", "u_i", F.lit(3)), F.col("thin")) == 0)
+    probe = tried.select("token", *(F.col(f"{c}_i").alias(f"{c}_p") for c in ("prior", "d", "u", "m", "more", "most")))
+    pairs = _met(tried.drop("thin"), probe, percent, keep="token").groupBy("token").count()
+    size = F.sqrt(2 * F.col("count")) * F.col("thin") * COUNTED
+    hot = checkpointed(pairs.join(_hinted(large, BROADCAST_HEADS), "token").select("token", size.alias("size")).where(F.col("size") > FEW))
+    return hot.select("token"), int(hot.agg(F.max("size")).first()[0] or 0)
+
+
+def later_matches(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Places (doc_id, u) of the classes that an earlier class matches. classes: doc_id, u, m, more, most, lead, prefix; lines: doc_id, t, text.
+
+    Lines of a large group are settled by one earlier match each: before the join of all, tokens of large groups
+    alone are met by one class in many, then by more, and what is settled needs no earlier line any more. So of a group of
+    k lines that match with probability p, every round makes O(k / p) pairs.
+    """
+    hot, most = _hot(classes, percent)
+    shares = [GROWTH**k for k in range(1, 16) if most // GROWTH ** (k - 1) > FEW][::-1]
     settled = None
-    for share in _shares(classes):
-        waiting = heads if settled is None else without(heads, settled)
-        if share > 1:
-            some = side(heads.where(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0), "x")
-            few = some.limit(BROADCAST_HEADS + 1).count() <= BROADCAST_HEADS
-            joined = met(F.broadcast(some) if few else some, side(waiting, "y"), False)
-        else:
-            joined = met(side(waiting, "x"), side(waiting, "y"), True)
-            if settled is not None:
-                joined = joined.union(met(side(heads.join(settled, "cid", "left_semi"), "x"), side(waiting, "y"), False))
-        found = verified_later(written(joined.distinct()), classes, lines, percent)
+    only = _hinted(hot, BROADCAST_HEADS) if shares else hot
+    for share in shares:
+        some = classes.where(F.pmod(F.xxhash64("doc_id", "u", F.lit(7)), F.lit(share)) == 0)
+        waiting = classes if settled is None else _without(classes, settled)
+        found = verified_later(written(_likeliest(_met_by(some, waiting, percent, ("p", "i"), only))), lines, percent)
         settled = checkpointed(found if settled is None else found.union(settled).distinct())
-    return settled
+    waiting = classes if settled is None else _without(classes, settled)
+    pairs = _met(_rows(waiting, "i"), _rows(waiting, "p"), percent)
+    if settled is not None:
+        old = classes.join(_hinted(settled, BROADCAST_LOST), ["doc_id", "u"], "left_semi")
+        pairs = pairs.union(_met(_rows(waiting, "i"), _rows(old, "p"), percent, "i")).union(_met(_rows(old, "i"), _rows(waiting, "p"), percent, "p"))
+    pairs = written(pairs)
+    found = checkpointed(verified_later(written(_likeliest(pairs)), lines, percent))
+    y = [F.col("yd").alias("doc_id"), F.col("yu").alias("u")]
+    rest = written(_without(pairs.select("xd", "xu", "yd", "yu", *y), found).select("xd", "xu", "yd", "yu").distinct())
+    if rest.limit(1).count():
+        found = found.union(verified_later(rest, lines, percent))
+    return checkpointed((found if settled is None else found.union(settled)).distinct())
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """For each later line the earlier one whose signature is nearest."""
+    best = pairs.groupBy("yd", "yu").agg(F.min(F.struct("apart", "xd", "xu")).alias("x"))
+    return best.select("x.xd", "x.xu", "yd", "yu")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(_hinted(gone, BROADCAST_LOST), ["doc_id", "u"], "left_anti")
+
+
+def _alike(percent: int):
+    def words(line: str) -> set:
+        return set(line.encode("utf-8", "surrogatepass").lower().split())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_last = None, set()
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("text_x").to_pylist(), batch.column("text_y").to_pylist()):
+                if x != last:
+                    last, of_last = x, words(x)
+                other = words(y)
+                both = len(of_last & other)
+                keep.append(100 * both >= percent * (len(of_last) + len(other) - both))
+            yield batch.select(["doc_id", "u"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def line_texts(places: DataFrame, lines: DataFrame) -> DataFrame:
+    """places (doc_id, u and other columns) with value, the line there; lines: doc_id, t, text of each document."""
+    rest = [c for c in places.columns if c != "doc_id"]
+    of_doc = places.groupBy("doc_id", F.shiftright("u", 32).alias("t")).agg(F.collect_list(F.struct(*rest)).alias("at"))
+    found = lines.join(F.broadcast(of_doc) if _few(places, BROADCAST_PLACES) else of_doc, ["doc_id", "t"])
+    value = lambda s, x: F.get(s, x["u"].bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    each = let(F.split("text", "\n"), lambda s: F.transform("at", lambda x: F.struct(*(x[c].alias(c) for c in rest), value(s, x).alias("value"))))
+    return found.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
 
 
-def verified_later(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The later class (cid) of each pair whose lines reach the threshold; lines: doc_id, u, value."""
-    few_pairs = pairs.count() <= BROADCAST_PAIRS
-    ends = checkpointed(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct())
-    few = ends.count() <= BROADCAST_PLACES
-    places = classes.select("cid", "doc_id", "u").join(F.broadcast(ends) if few else ends, "cid")
-    texts = written(lines.join(F.broadcast(places) if few else places, ["doc_id", "u"]))
-    if texts.count() > ends.count():  # rows that repeat wholly
-        texts = written(texts.dropDuplicates(["cid"]))
-    of = lambda s: texts.select(F.col("cid").alias(s), F.col("value").alias(f"text_{s}"), F.struct("doc_id", "u").alias(f"at_{s}"))
-    both = of("y").join(F.broadcast(pairs) if few_pairs else pairs, "y").join(of("x"), "x")
-    later = both.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("cid"), "text_x", "text_y")
-    return later.mapInArrow(_alike(percent), "cid long").distinct()
+def verified_later(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The later place (doc_id, u) of each pair whose words reach the threshold. Each text goes to its pair's earlier place."""
+    x = checkpointed(pairs.select(F.col("xd").alias("doc_id"), F.col("xu").alias("u")).distinct())
+    y = pairs.select(F.col("yd").alias("doc_id"), F.col("yu").alias("u"), "xd", "xu")
+    # rows that repeat wholly bring their lines twice
+    of_x = line_texts(x, lines).groupBy(F.col("doc_id").alias("xd"), F.col("u").alias("xu")).agg(F.first("value").alias("text_x"))
+    both = line_texts(y, lines).withColumnRenamed("value", "text_y").join(of_x, ["xd", "xu"])
+    return both.select("doc_id", "u", "text_x", "text_y").mapInArrow(_alike(percent), "doc_id long, u long").distinct()
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows whose cid is not in gone; the ids are broadcast only if they are few enough."""
-    few = gone.limit(BROADCAST_LOST + 1).count() <= BROADCAST_LOST
-    return rows.join(F.broadcast(gone) if few else gone, "cid", "left_anti")
+def _order(docs: DataFrame) -> Column:
+    """What orders documents: doc_id as a number; names that are no numbers go by a hash of theirs, null is first."""
+    number = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.coalesce(F.expr("try_cast(doc_id AS long)"), F.xxhash64("doc_id"))
+    return F.when(F.col("doc_id").isNull(), F.lit(-(1 << 63))).otherwise(number)
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -234,29 +345,35 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A line goes if any earlier line (by doc_id, then number) has a Jaccard similarity of its distinct words
     (A-Z lower-cased, split at ASCII white space) of percent or more. Lines of fewer than MIN_WORDS
     distinct words stay. Null texts stay null and empty ones empty, with nothing removed. A null doc_id
-    comes first; rows that share a doc_id but not a text come in the order of a hash of the text; rows that
-    repeat wholly are judged as one and so stay alike. A column called removed is replaced.
+    comes first, one that is no number is ordered by a hash; rows that share a doc_id but not a text come in the order of a
+    hash of the text; rows that repeat wholly are judged as one and so stay alike. A column called removed is replaced.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
-    lean = "doc_id long, t long, line int, h1 long, h2 long"
-    signed = keyed.mapInArrow(_signed(ranks, percent, True), f"{lean}, m long, prefix array<long>").withColumn("u", place_in_doc())
-    found = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "u")).alias("first"), F.count("*").alias("size"), F.max("m").alias("m"), F.max("prefix").alias("prefix"))
-    classes = written(found.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.*", "size", "m", "prefix"))
-    later = later_matches(classes.select("cid", "doc_id", "u", "m", "prefix"), keyed, percent)
+    t = F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("t")
+    keyed = docs.select(_order(docs).alias("doc_id"), t, F.col("text").cast("string").alias("text"))
+    scale = docs.sparkSession.sparkContext.broadcast(rarity(docs))
+    signed = written(keyed.mapInArrow(_signed(scale, percent), "doc_id long, u long, h1 long, h2 long, m long, more long, most long, lead int, prefix array<long>"))
+    # a line with a word of its own is a class of its own
+    may_repeat, own = signed.where("h1 is not null"), signed.where("h1 is null")
+    found = may_repeat.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "u", "m", "more", "most", "lead", "prefix")).alias("first"), F.count("*").alias("size"))
+    shared = written(found.select("h1", "h2", "size", "first.*"))
+    columns = ["doc_id", "u", "m", "more", "most", "lead", "prefix"]
+    later = later_matches(own.select(*columns).union(shared.select(*columns)), keyed, percent)
     # a class goes whole if an earlier one matches it, else all of it but its first line
-    gone = classes.select("cid", "h1", "h2", "doc_id", "u", "size").join(later.withColumn("whole", F.lit(True)), "cid", "left").where("whole or size > 1")
+    whole = _hinted(later, BROADCAST_LOST).withColumn("whole", F.lit(True))
+    gone = shared.select("h1", "h2", "doc_id", "u", "size").join(whole, ["doc_id", "u"], "left").where("whole or size > 1")
     gone = gone.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("u").alias("first_u"), "whole")
-    lost = keyed.mapInArrow(_signed(ranks, percent, False), lean).withColumn("u", place_in_doc()).join(gone, ["h1", "h2"])
-    lost = lost.where(F.coalesce("whole", F.lit(False)) | (F.col("doc_id") != F.col("first_doc")) | (F.col("u") != F.col("first_u")))
-    per_doc = lost.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line")).alias("lost"))
-    per_doc = checkpointed(per_doc)
-    few = (per_doc.agg(F.sum(F.size("lost") + 4)).first()[0] or 0) <= BROADCAST_LOST
-    columns = [c for c in docs.columns if c != "removed"]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("d"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("t"))
-    joined = packed.join(F.broadcast(per_doc) if few else per_doc, ["doc_id", "t"], "left")
-    whole = F.col("d.text").cast("string")
-    kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("lost", i)), "\n")
-    text = F.when(F.col("lost").isNull(), whole).otherwise(kept).alias("text")
-    rest = [text if c == "text" else F.col(f"d.`{c}`") for c in columns]
+    copies = may_repeat.select("doc_id", "u", "h1", "h2").join(gone, ["h1", "h2"])
+    copies = copies.where(F.coalesce("whole", F.lit(False)) | (F.col("doc_id") != F.col("first_doc")) | (F.col("u") != F.col("first_u")))
+    lost = later.union(copies.select("doc_id", "u"))
+    line = F.col("u").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    per_doc = checkpointed(lost.groupBy("doc_id", F.shiftright("u", 32).alias("t")).agg(F.sort_array(F.collect_set(line)).alias("lost")))
+    few = (per_doc.agg(F.sum(F.size("lost") + 4)).first()[0] or 0) <= 2 * BROADCAST_LOST
+    kept_columns = [c for c in docs.columns if c != "removed"]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("d"), _order(docs).alias("_order"), t)
+    per_doc = per_doc.withColumnRenamed("doc_id", "_order")
+    joined = packed.join(F.broadcast(per_doc) if few else per_doc, ["_order", "t"], "left")
+    body = F.col("d.text").cast("string")
+    kept = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains("lost", i)), "\n")
+    text = F.when(F.col("lost").isNull(), body).otherwise(kept).alias("text")
+    rest = [text if c == "text" else F.col(f"d.`{c}`") for c in kept_columns]
     return joined.select(*rest, F.coalesce("lost", F.array().cast("array<int>")).alias("removed"))

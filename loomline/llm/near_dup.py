@@ -37,11 +37,12 @@ SHIFT = 2000
 MARGIN = 0.2
 #: Ids of candidates are broadcast up to so many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Texts are hashed in runs of about so many bytes.
-RUN_BYTES = 1 << 20
+#: Texts are sketched in runs of about so many bytes, and hashed in runs that the processor's cache holds.
+RUN_BYTES, CACHED_BYTES = 1 << 20, 1 << 17
 
 _MUL = 0x9E3779B97F4A7C15
 _ODD = 0xD1342543DE82EF95
+_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,11 +62,11 @@ def _power(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64; short tables are kept."""
     kept = _powers.get(str(base))
     if kept is None or len(kept) < n:
-        size = max(n, 2 * RUN_BYTES)
+        size = max(n, 4 * CACHED_BYTES)
         kept = np.full(size, base, dtype=np.uint64)
         kept[0] = 1
         kept = np.multiply.accumulate(kept)
-        if size <= 4 * RUN_BYTES:
+        if size <= 16 * CACHED_BYTES:
             _powers[str(base)] = kept
     return kept
 
@@ -78,16 +79,20 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     """
     parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", dtype=np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    inverse = pow(_ODD, -1, 1 << 64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * _power(inverse, len(data))[: len(data)], dtype=np.uint64)])
+    blank = (data == 32) | (data - np.uint8(9) < 5)
+    # the data begin and end blank, so words begin and end in turn
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * _power(_INVERSE, len(data))[: len(data)], out=sums[1:])
     word = mix((sums[ends] - sums[starts]) * _power(_ODD, len(data))[starts] + (ends - starts).astype(np.uint64))
-    stops = np.cumsum(np.array([len(x) + 1 for x in parts], dtype=np.int64))
-    owner = np.searchsorted(stops, starts - 1, side="right")
-    line = np.searchsorted(np.flatnonzero(data == 10), starts) - 1
-    return word, owner, line
+
+    def dealt(bounds: np.ndarray) -> np.ndarray:
+        """The interval between bounds that each word begins in."""
+        return np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds)))
+
+    owner = dealt(np.cumsum(np.array([1] + [len(x) + 1 for x in parts], dtype=np.int64)))
+    return word, owner, dealt(np.flatnonzero(data == 10))
 
 
 def shingle_hashes(texts: list[str | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +100,10 @@ def shingle_hashes(texts: list[str | None], width: int = SHINGLE) -> tuple[np.nd
 
     A text of fewer than width words has one shingle, its whole sequence; one without words has none.
     """
-    word, owner, _ = word_hashes(texts)
+    parts = [word_hashes(texts[lo:hi])[:2] + (lo,) for lo, hi in runs_of(texts, CACHED_BYTES)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    word, owner = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] + x[2] for x in parts])
     n_words = np.bincount(owner, minlength=len(texts))
     if not len(word):
         return word, n_words
@@ -157,12 +165,12 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (qb - np.sqrt(np.maximum(qb * qb - 4 * qa * qc, 0))) / (2 * qa)
 
 
-def runs_of(texts: list) -> Iterator[tuple[int, int]]:
-    """Slices of about RUN_BYTES of text each."""
+def runs_of(texts: list, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Slices of about most bytes of text each."""
     at = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= RUN_BYTES or i + 1 - at >= 2000:
+        if size >= most or i + 1 - at >= 2000:
             yield at, i + 1
             at, size = i + 1, 0
     if at < len(texts):
