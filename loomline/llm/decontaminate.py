@@ -2,7 +2,8 @@
 
 Every benchmark item becomes windows of 13 words (a shorter item is one window). A window's tokens are
 its 3-word shingles. Exact containment needs every token, so a prefix of one token is enough: the rarest
-in the whole corpus, counted in a first pass. Document shingles meet the index of those anchors; length
+in the whole corpus. One pass finds the document shingles that any window has, with the words around them;
+rarity is counted over these, and those that are anchors meet the index. Length
 and position bounds place the window in the document, and its words are then compared one by one.
 
 Only DataFrame functions run. The index is broadcast if its measured size allows, else joined by a shuffle.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, words
+from .common import checkpointed, lower_ascii, words, written
 
 #: A word is a run of digits, letters a-z and anything beyond ASCII, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,14 +94,17 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     tokens = spread.select("item_id", "window", "n", own).where(F.col("s.width") == width).select("item_id", "window", "n", F.col("s.at").alias("offset"), F.col("s.token").alias("token"))
     wanted = checkpointed(tokens.select("token").distinct())
     if _is_small(wanted):
-        counts = flat.select("token").join(F.broadcast(wanted), "token").groupBy("token").count()
+        met = written(_context(flat.join(F.broadcast(wanted), "token")))
     else:
-        counts = flat.groupBy("token").count().join(wanted, "token")
+        # only places are shuffled to find the tokens; the words around them are taken where there are any
+        places = written(flat.select("key", "at", "token").join(wanted, "token"))
+        met = written(_context(worded.join(places, "key")))
+    counts = met.groupBy("token").count()
     rarest = F.min_by(F.struct("offset", "token"), F.struct(F.coalesce("count", F.lit(0)), "offset")).alias("anchor")
     anchors = tokens.join(counts, "token", "left").groupBy("item_id", "window", "n").agg(rarest).select("item_id", "window", "n", "anchor.offset", "anchor.token")
     # items may share windows: one index row for each text of a window, with its items
     index = checkpointed(anchors.groupBy("window", "n", "offset", "token").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")))
-    placed = _context(flat.join(F.broadcast(index), "token")) if _is_small(index) else _context(flat).join(index, "token")
+    placed = met.join(F.broadcast(index) if _is_small(index) else index, "token")
     start = F.col("at") - F.col("offset")
     placed = placed.where((start >= 0) & (start + F.col("n") <= F.col("length")))
     found = placed.where(F.slice("near", start - F.col("base") + 1, F.col("n")) == F.col("window")).select("key", start.alias("start"), "n", "ids")
