@@ -3,11 +3,13 @@
 1. Each task splits its texts into words (the pre-tokens of the vocabulary) and counts the distinct
    ones; a shuffle adds the counts up. Each distinct word of the corpus is then encoded once and the
    table (word, n, ids) is written to the shared checkpoint folder.
-2. The most frequent words, at most FREQUENT of them, are broadcast. A second pass over the texts puts
+2. The most frequent words, at most FREQUENT of them, are broadcast as sorted hashes and one flat array of ids, the
+   first NEAREST of them also by name. A second pass over the texts puts
    their ids in place at once and leaves a mark at every other word.
 3. Those other words are joined with the table by word and their ids joined back by document and
    position. A word outside the broadcast is rare, so no key of this join is hot.
-4. Ids decode through the id-to-piece table, whose size the vocabulary bounds.
+4. Ids decode by a join with the id-to-piece table, whose size the vocabulary bounds: it is broadcast, and each
+   batch takes the pieces of all its ids at once.
 
 Texts are never shuffled, only their packed ids. Nothing grows with the corpus on the driver.
 """
@@ -18,6 +20,7 @@ import json
 import os
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +39,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 NEAR = 0x250
 #: Texts of only these characters split alike under any Unicode version; the library splits the others.
 SETTLED = r"[\x00-ԯ‐-⁤　-ヿ一-龥가-힣]*"
-#: Words in the broadcast table, at most (about 75 MB in each Python worker).
-FREQUENT = 300_000
+#: Words in the broadcast table, at most (about 20 bytes each), and those of them that are held by name.
+FREQUENT, NEAREST = 1_000_000, 300_000
 #: A task emits its distinct words whenever it holds so many.
 HELD = 300_000
 MARK = 0xFFFF
@@ -129,42 +132,55 @@ def _counted(spec):
     return run
 
 
+def _hashed(word: str) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 def _encoded(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, special = _library(spec.value), dict(_specials(spec.value))
         for batch in batches:
             words = batch.column(0).to_pylist()
             ids = [np.array([special[w]] if w in special else e.ids, np.uint16).tobytes() for w, e in zip(words, library.encode_batch(words, add_special_tokens=False))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            h = pa.array(np.array([_hashed(w) for w in words], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), h], ["word", "n", "ids", "h"])
 
     return run
 
 
 def word_table(docs: DataFrame, spec) -> DataFrame:
-    """(word, n, ids) of every distinct word of all texts; ids as packed 16-bit numbers."""
+    """(word, n, ids, h) of every distinct word of all texts; ids as packed 16-bit numbers, h a hash of the word."""
     seen = docs.select(F.col("text").cast("string")).mapInArrow(_counted(spec), "word string, n long")
-    return written(seen.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_encoded(spec), "word string, n long, ids binary"))
+    return written(seen.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_encoded(spec), "word string, n long, ids binary, h long"))
 
 
-def _least_frequent(table: DataFrame) -> int:
-    """The count from which at most FREQUENT words are as frequent."""
+def _least_frequent(table: DataFrame, most: int) -> int:
+    """The count from which at most so many words are as frequent."""
     by_count = table.groupBy("n").count().orderBy(F.desc("n"))
     total = 0
-    for n, words in by_count.limit(FREQUENT).collect():  # distinct counts, far fewer than words
+    for n, words in by_count.limit(most).collect():  # distinct counts, far fewer than words
         total += words
-        if total > FREQUENT:
+        if total > most:
             return n + 1
     return 1
 
 
 class _Known(dict):
-    """Packed ids by word; a word outside gets the mark and is noted."""
+    """Packed ids by word: the nearest words by name, the others by hash; a word outside gets the mark and is noted."""
 
-    def __init__(self, known):
-        super().__init__(known)
+    def __init__(self, nearest: pa.Table, table: pa.Table):
+        super().__init__(zip(nearest.column("word").to_pylist(), nearest.column("ids").to_pylist()))
         self.mark, self.rare = np.array([MARK], np.uint16).tobytes(), []
+        self.hashes, ids = memoryview(table.column("h").combine_chunks().to_numpy().view(np.uint64)), table.column("ids").combine_chunks()
+        self.offsets, self.flat = memoryview(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]), memoryview(ids.buffers()[2] or b"")
 
     def __missing__(self, word: str) -> bytes:
+        h = _hashed(word)
+        i = bisect_left(self.hashes, h)
+        if i < len(self.hashes) and self.hashes[i] == h:
+            return self.flat[self.offsets[i] : self.offsets[i + 1]]
         self.rare.append(word)
         return self.mark
 
@@ -178,16 +194,15 @@ def _as_bytes(table: pa.Table) -> bytes:
 
 
 @lru_cache(maxsize=1)
-def _known(stream: bytes) -> _Known:
-    table = pa.ipc.open_stream(stream).read_all()
-    return _Known(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
+def _known(nearest: bytes, table: bytes) -> _Known:
+    return _Known(*(pa.ipc.open_stream(x).read_all() for x in (nearest, table)))
 
 
 def _packed(spec, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, known, pack = _splitter(spec.value), _known(frequent.value), zstandard.ZstdCompressor(level=1).compress
+        words, known, pack = _splitter(spec.value), _known(*frequent.value), zstandard.ZstdCompressor(level=1).compress
         look = known.__getitem__
         for batch in batches:
             ids, rare = [], []
@@ -195,7 +210,9 @@ def _packed(spec, frequent):
                 known.rare = []
                 ids.append(pack(b"".join(map(look, words(text.as_py())))))
                 rare.append(known.rare)
+            known.rare = []
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "packed", "rare"])
+        _known.cache_clear()  # the worker may serve other stages next
 
     return run
 
@@ -237,10 +254,15 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     context = docs.sparkSession.sparkContext
     with open(tokenizer_path or default_path(), encoding="utf-8") as f:
         spec = context.broadcast(f.read())
+    if max(i for i in [*json.loads(spec.value)["model"]["vocab"].values(), *(i for _, i in _specials(spec.value))]) >= MARK:
+        raise ValueError(f"ids of {MARK} or more do not fit the packed form")
     table = word_table(docs, spec)
-    least = _least_frequent(table)
-    top = table.where(F.col("n") >= least).select("word", "ids").toArrow()  # at most FREQUENT rows
-    frequent = context.broadcast(_as_bytes(top))
+    least, near = _least_frequent(table, FREQUENT), _least_frequent(table, NEAREST)
+    top = table.where(F.col("n") >= least).select("h", "ids").toArrow()  # at most FREQUENT rows
+    order = np.argsort(top.column("h").to_numpy().view(np.uint64))
+    nearest = table.where(F.col("n") >= near).select("word", "ids").toArrow()  # at most NEAREST rows
+    frequent = context.broadcast((_as_bytes(nearest), _as_bytes(top.take(order).combine_chunks())))
+    del top, order
     text = F.col("text").cast("string")
     kind = docs.schema["doc_id"].dataType
     own = F.col("doc_id").cast("long") if isinstance(kind, IntegralType) else F.xxhash64("doc_id")
@@ -255,12 +277,13 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
 def _decoded(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _pieces(spec.value).__getitem__
+        pieces = pa.array(_pieces(spec.value), pa.large_binary())
         for batch in batches:
             column = batch.column("ids")
-            bounds, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            spans = [(bounds[i], bounds[i + 1]) if column[i].is_valid else (0, 0) for i in range(len(column))]
-            texts = [b"".join(map(piece, flat[lo:hi].tolist())).decode("utf-8", "replace") for lo, hi in spans]
+            bounds, spelled = column.offsets.to_numpy(), pieces.take(column.values)
+            ends = np.frombuffer(spelled.buffers()[1], np.int64)[: len(spelled) + 1]
+            body, valid = memoryview(spelled.buffers()[2] or b""), column.is_valid().to_pylist()
+            texts = [str(body[ends[bounds[i]] : ends[bounds[i + 1]]], "utf-8", "replace") if valid[i] else "" for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
