@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -40,8 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
+        if not folder and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="spark-")  # one machine, as in tests
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
