@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder that the session names; a default only where it names none."""
+    """df cut from its lineage, in the folder that the session names in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="spark-")  # one machine, as in tests
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
