@@ -49,13 +49,13 @@ def host_rule(verdict: str, rule: str) -> UrlRule:
     host, path = host.translate(str.maketrans(UPPER, LOWER)), slash + path
     # the last token of a path may go on in the url, so only tokens that something ends count as literal
     whole = tokens_of(host + re.sub(r"[A-Za-z0-9]+$", "", path))
-    return UrlRule(verdict, r"\A(?:[^ ]*\.)?" + re.escape(host) + r" \Q" + path.replace(r"\E", r"\E\\E\Q") + r"\E", whole, rule, host, path)
+    return UrlRule(verdict, r"\A(?:[^/]*\.)?" + re.escape(host) + r"\Q" + path.replace(r"\E", r"\E\\E\Q") + r"\E", whole, rule, host, path)
 
 
 def word_rule(verdict: str, *words: str) -> UrlRule:
     """A rule of the method: all words stand in the host, in this order, between other signs."""
-    inner = "[^a-z0-9 ]+".join(words)
-    return UrlRule(verdict, rf"\A(?:[^ ]*[^a-z0-9 ])?{inner}(?:[^a-z0-9 ][^ ]*)? ", words)
+    inner = "[^a-z0-9/]+".join(words)
+    return UrlRule(verdict, rf"\A(?:[^/]*[^a-z0-9/])?{inner}(?:[^a-z0-9/][^/]*)?(?:/|\z)", words)
 
 
 #: The host/path rules asked for.
@@ -87,7 +87,7 @@ def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, default: st
     """
     spark = pages.sparkSession
     host, path = split_url(F.col("url").cast("string"))
-    distinct = pages.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct().select("url", F.concat(host, F.lit(" "), path).alias("place"))
+    distinct = pages.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct().select("url", F.concat(host, path).alias("place"))
     flat = distinct.select("url", "place", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("place", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
     table = rule_table(spark, rules).withColumn("token", F.explode("tokens"))
     small = len(rules) <= BROADCAST_RULES

@@ -51,7 +51,7 @@ def judged(url):
 
 
 def test_urls(spark):
-    odd_urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/en/7", "a://x.example.com/en/77?q", "a://notexample.com/en/7", "b://com/en/", "c://xcom/en/1", "d://net/de/#", "e://example.net/de/8/x", "f://a.org/es/", "g://a.org/ES/", "h://a.com:80/en/", "i://b.com/en/\nz", "j://x://com/en/", "k://a.com/en/7", LONG]
+    odd_urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/en/7", "a://x.example.com/en/77?q", "a://notexample.com/en/7", "b://com/en/", "c://xcom/en/1", "d://net/de/#", "e://example.net/de/8/x", "f://a.org/es/", "g://a.org/ES/", "h://a.com:80/en/", "i://b.com/en/\nz", "j://x://com/en/", "k://a.com/en/7", "l://a b.com/en/x", "m://free casino.com/en", "n://a\n.org/es/", LONG]
     rows = [(i, u, 5) for i, u in enumerate(odd_urls)] * 2
     mine = spark.createDataFrame(rows, "page_id long, url string, token int")
     for df in (mine, table(spark, "pages").select("page_id", "url")):
