@@ -3,15 +3,17 @@
 1. Each task splits its texts into words (the pre-tokens of the vocabulary) and counts the distinct
    ones; a shuffle adds the counts up. Each distinct word of the corpus is then encoded once and the
    table (word, n, ids) is written to the shared checkpoint folder.
-2. The most frequent words, at most FREQUENT of them, are broadcast as sorted hashes and one flat array of ids, the
-   first NEAREST of them also by name. A second pass over the texts puts
-   their ids in place at once and leaves a mark at every other word.
-3. Those other words are joined with the table by word and their ids joined back by document and
-   position. A word outside the broadcast is rare, so no key of this join is hot.
+2. The most frequent words, at most FREQUENT of them, are ranked by their counts. Their hashes are broadcast (the first
+   NEAREST also by name), and a second pass writes each text as the ranks of its words, small numbers that
+   compress well; any other word is written as the first number that is no rank, and listed.
+3. These other words are joined with the table by word and their ids joined back by document and
+   position. A word outside the broadcast is rare, so no key of this join is hot. Both this join and the last step read
+   the second pass from one shuffle. The ids of the ranks, broadcast too, then take the ranks' places.
 4. Ids decode by a join with the id-to-piece table, whose size the vocabulary bounds: it is broadcast, and each
    batch takes the pieces of all its ids at once.
 
-Texts are never shuffled, only their packed ids. Nothing grows with the corpus on the driver.
+Texts are never shuffled, only the packed ranks of their words. Nothing grows with the corpus on the driver. A rare word whose
+64-bit hash is a frequent word's would take its ids: for 10^10 rare words the chance of one such is 5e-4.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import json
 import os
 import re
 import unicodedata
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 NEAR = 0x250
 #: Texts of only these characters split alike under any Unicode version; the library splits the others.
 SETTLED = r"[\x00-ԯ‐-⁤　-ヿ一-龥가-힣]*"
-#: Words in the broadcast table, at most (about 20 bytes each), and those of them that are held by name.
-FREQUENT, NEAREST = 1_000_000, 300_000
+#: Words in the broadcast table, at most (about 25 bytes each), and those of them that are held by name.
+FREQUENT, NEAREST = 1_000_000, 200_000
+#: Seed of Spark's xxhash64.
+SEED = 42
 #: A task emits its distinct words whenever it holds so many.
 HELD = 300_000
-MARK = 0xFFFF
 
 
 def default_path() -> str:
@@ -84,14 +87,13 @@ def _splitter(spec: str):
 
     near, is_near = _near()
     find, settled = regex.compile(PATTERN).findall, regex.compile(SETTLED).fullmatch
-    split = _library(spec).pre_tokenizer.pre_tokenize_str
     specials = [s for s, _ in _specials(spec)]
     cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")").split if specials else None
 
     def plain(text: str) -> list[str]:
         if is_near(text):
             return near(text)
-        return find(text) if settled(text) else [text[a:b] for _, (a, b) in split(text)]
+        return find(text) if settled(text) else [text[a:b] for _, (a, b) in _library(spec).pre_tokenizer.pre_tokenize_str(text)]
 
     def words(text: str | None) -> list[str]:
         if not text:
@@ -132,28 +134,27 @@ def _counted(spec):
     return run
 
 
-def _hashed(word: str) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+def _id_type(spec: str) -> type:
+    """The narrowest numbers that hold all ids."""
+    x = json.loads(spec)
+    return np.uint16 if max([*x["model"]["vocab"].values(), *(i["id"] for i in x["added_tokens"])], default=0) < 1 << 16 else np.uint32
 
 
-def _encoded(spec):
+def _encoded(spec, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, special = _library(spec.value), dict(_specials(spec.value))
         for batch in batches:
             words = batch.column(0).to_pylist()
-            ids = [np.array([special[w]] if w in special else e.ids, np.uint16).tobytes() for w, e in zip(words, library.encode_batch(words, add_special_tokens=False))]
-            h = pa.array(np.array([_hashed(w) for w in words], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), h], ["word", "n", "ids", "h"])
+            ids = [np.array([special[w]] if w in special else e.ids, kind).tobytes() for w, e in zip(words, library.encode_batch(words, add_special_tokens=False))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     return run
 
 
-def word_table(docs: DataFrame, spec) -> DataFrame:
-    """(word, n, ids, h) of every distinct word of all texts; ids as packed 16-bit numbers, h a hash of the word."""
+def word_table(docs: DataFrame, spec, kind: type) -> DataFrame:
+    """(word, n, ids) of every distinct word of all texts; ids as packed numbers of kind."""
     seen = docs.select(F.col("text").cast("string")).mapInArrow(_counted(spec), "word string, n long")
-    return written(seen.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_encoded(spec), "word string, n long, ids binary, h long"))
+    return written(seen.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_encoded(spec, kind), "word string, n long, ids binary"))
 
 
 def _least_frequent(table: DataFrame, most: int) -> int:
@@ -167,81 +168,117 @@ def _least_frequent(table: DataFrame, most: int) -> int:
     return 1
 
 
-class _Known(dict):
-    """Packed ids by word: the nearest words by name, the others by hash; a word outside gets the mark and is noted."""
+def _as_bytes(**columns) -> bytes:
+    """The columns as one Arrow stream, far smaller on the driver than Python objects."""
+    table, sink = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def __init__(self, nearest: pa.Table, table: pa.Table):
-        super().__init__(zip(nearest.column("word").to_pylist(), nearest.column("ids").to_pylist()))
-        self.mark, self.rare = np.array([MARK], np.uint16).tobytes(), []
-        self.hashes, ids = memoryview(table.column("h").combine_chunks().to_numpy().view(np.uint64)), table.column("ids").combine_chunks()
-        self.offsets, self.flat = memoryview(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]), memoryview(ids.buffers()[2] or b"")
 
-    def __missing__(self, word: str) -> bytes:
-        h = _hashed(word)
-        i = bisect_left(self.hashes, h)
-        if i < len(self.hashes) and self.hashes[i] == h:
-            return self.flat[self.offsets[i] : self.offsets[i + 1]]
-        self.rare.append(word)
-        return self.mark
+def _column(stream: bytes, name: str) -> pa.Array:
+    return pa.ipc.open_stream(stream).read_all().column(name).combine_chunks()
 
 
-def _as_bytes(table: pa.Table) -> bytes:
-    """table as one Arrow stream, far smaller on the driver than its rows as Python objects."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _ranked(table: DataFrame, least: int) -> tuple[bytes, bytes, bytes]:
+    """Of the words that occur least times or more, in the order of their counts: the nearest by name, all hashes in order with ranks, all ids."""
+    top = table.where(F.col("n") >= least).select("word", "n", "ids", F.xxhash64("word").alias("h")).toArrow()  # at most FREQUENT rows
+    top = top.take(np.argsort(-top.column("n").to_numpy(), kind="stable")).combine_chunks()
+    h = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return _as_bytes(word=top.column("word")[:NEAREST]), _as_bytes(h=h[order], rank=order.astype(np.int32)), _as_bytes(ids=top.column("ids"))
 
 
-@lru_cache(maxsize=1)
-def _known(nearest: bytes, table: bytes) -> _Known:
-    return _Known(*(pa.ipc.open_stream(x).read_all() for x in (nearest, table)))
+def _rank_of(nearest: bytes, hashes: bytes):
+    """A function from words to their ranks; a word that has none gets the number of all ranks."""
+    from xxhash import xxh64_intdigest
+
+    near = {w: i for i, w in enumerate(_column(nearest, "word").to_pylist())}
+    h, rank = _column(hashes, "h").to_numpy(), _column(hashes, "rank").to_numpy()
+
+    def ranks(words: list[str]) -> np.ndarray:
+        found = np.fromiter(map(near.get, words, repeat(-1)), np.int32, len(words))
+        far = np.flatnonzero(found < 0)
+        if len(far):
+            found[far] = len(h)
+            if len(h):
+                own = np.array([xxh64_intdigest(words[i].encode(), SEED) for i in far.tolist()], np.uint64)
+                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                hit = h[at] == own
+                found[far[hit]] = rank[at[hit]]
+        return found
 
+    return ranks, len(h)
+
+
+def _packed(spec, nearest, hashes):
+    """Each text as the ranks of its words, byte by byte, and the words that have none."""
 
-def _packed(spec, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, known, pack = _splitter(spec.value), _known(*frequent.value), zstandard.ZstdCompressor(level=1).compress
-        look = known.__getitem__
+        words, pack = _splitter(spec.value), zstandard.ZstdCompressor(level=1).compress
+        rank_of, none = _rank_of(nearest.value, hashes.value)
         for batch in batches:
-            ids, rare = [], []
+            ranks, rare = [], []
             for text in batch.column("text"):
-                known.rare = []
-                ids.append(pack(b"".join(map(look, words(text.as_py())))))
-                rare.append(known.rare)
-            known.rare = []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "packed", "rare"])
-        _known.cache_clear()  # the worker may serve other stages next
+                own = words(text.as_py())
+                found = rank_of(own)
+                ranks.append(pack(np.ascontiguousarray(found.view(np.uint8).reshape(-1, 4).T).tobytes()))
+                rare.append([own[i] for i in np.flatnonzero(found == none).tolist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ranks, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "packed", "rare"])
 
     return run
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word without a rank: the keys of its text, its place among these words, the word."""
     for batch in batches:
-        packed, found = batch.column("packed"), batch.column("found")
-        bounds, rows = found.offsets.to_numpy(), found.values
-        place, own = rows.field("k").to_numpy(zero_copy_only=False), rows.field("ids").to_pylist()
-        flat, sizes = [], []
-        for i in range(batch.num_rows):
-            ids = np.frombuffer(unpack(packed[i].as_py()), np.uint16)
-            lo, hi = (bounds[i], bounds[i + 1]) if found[i].is_valid else (0, 0)
-            if hi > lo:
-                at = ids == MARK
-                rare = [own[lo + j] for j in np.argsort(place[lo:hi])]
-                times = np.ones(len(ids), np.int64)
-                times[at] = [len(x) // 2 for x in rare]
-                ids, at = np.repeat(ids, times), np.repeat(at, times)
-                ids[at] = np.frombuffer(b"".join(rare), np.uint16)
-            flat.append(ids)
-            sizes.append(len(ids))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        values = pa.array(np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32))
-        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("packed", "found")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(offsets, values)], [x for x in batch.schema.names if x not in ("packed", "found")] + ["ids"])
+        rare = batch.column("rare")
+        row = rare.value_parent_indices()
+        k = np.arange(len(row)) - rare.offsets.to_numpy()[row.to_numpy()] + rare.offsets[0].as_py()
+        yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(k.astype(np.int32)), rare.flatten()], ["k1", "k2", "k", "word"])
+
+
+def _filled(ids_of_ranks, kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        spelled = _column(ids_of_ranks.value, "ids")
+        own = np.frombuffer(spelled.buffers()[2] or b"", kind)
+        starts = np.frombuffer(spelled.buffers()[1], np.int32)[spelled.offset : spelled.offset + len(spelled) + 1].astype(np.int64) // np.dtype(kind).itemsize
+        for batch in batches:
+            packed, found = batch.column("packed"), batch.column("found")
+            bounds, rows = found.offsets.to_numpy(), found.values
+            place, rare_ids = rows.field("k").to_numpy(zero_copy_only=False), rows.field("ids").to_pylist()
+            flat, sizes = [], []
+            for i in range(batch.num_rows):
+                rank = np.ascontiguousarray(np.frombuffer(unpack(packed[i].as_py()), np.uint8).reshape(4, -1).T).view(np.int32)[:, 0]
+                lo, hi = (bounds[i], bounds[i + 1]) if found[i].is_valid else (0, 0)
+                rare = np.array([], kind)
+                at = np.flatnonzero(rank == len(spelled))
+                begin, size = starts[np.minimum(rank, len(spelled))], np.zeros(len(rank), np.int64)
+                if len(at):
+                    # the ids of a text's rare words follow those of all ranks
+                    each = [rare_ids[lo + j] for j in np.argsort(place[lo:hi])]
+                    rare = np.frombuffer(b"".join(each), kind)
+                    size[at] = [len(x) // np.dtype(kind).itemsize for x in each]
+                    begin[at] = len(own) + np.cumsum(size[at]) - size[at]
+                known = rank < len(spelled)
+                size[known] = starts[rank[known] + 1] - begin[known]
+                where = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                ids = own[np.minimum(where, len(own) - 1)] if len(own) else np.zeros(len(where), kind)
+                if len(at):
+                    beyond = where >= len(own)
+                    ids[beyond] = rare[where[beyond] - len(own)]
+                flat.append(ids)
+                sizes.append(len(ids))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            values = pa.array(np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+
+    return run
 
 
 def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -254,25 +291,21 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     context = docs.sparkSession.sparkContext
     with open(tokenizer_path or default_path(), encoding="utf-8") as f:
         spec = context.broadcast(f.read())
-    if max(i for i in [*json.loads(spec.value)["model"]["vocab"].values(), *(i for _, i in _specials(spec.value))]) >= MARK:
-        raise ValueError(f"ids of {MARK} or more do not fit the packed form")
-    table = word_table(docs, spec)
-    least, near = _least_frequent(table, FREQUENT), _least_frequent(table, NEAREST)
-    top = table.where(F.col("n") >= least).select("h", "ids").toArrow()  # at most FREQUENT rows
-    order = np.argsort(top.column("h").to_numpy().view(np.uint64))
-    nearest = table.where(F.col("n") >= near).select("word", "ids").toArrow()  # at most NEAREST rows
-    frequent = context.broadcast((_as_bytes(nearest), _as_bytes(top.take(order).combine_chunks())))
-    del top, order
+    kind = _id_type(spec.value)
+    table = word_table(docs, spec, kind)
+    least = _least_frequent(table, FREQUENT)
+    nearest, hashes, ids_of_ranks = map(context.broadcast, _ranked(table, least))
     text = F.col("text").cast("string")
-    kind = docs.schema["doc_id"].dataType
-    own = F.col("doc_id").cast("long") if isinstance(kind, IntegralType) else F.xxhash64("doc_id")
+    type_of_id = docs.schema["doc_id"].dataType
+    own = F.col("doc_id").cast("long") if isinstance(type_of_id, IntegralType) else F.xxhash64("doc_id")
     # small numbers in k1 shuffle in less room than another digest would
     keyed = docs.select(F.coalesce(own, F.hash(text).cast("long")).alias("k1"), F.xxhash64(text, "doc_id").alias("k2"), "doc_id", text.alias("text"))
-    packed = keyed.mapInArrow(_packed(spec, frequent), f"k1 long, k2 long, doc_id {kind.simpleString()}, packed binary, rare array<string>")
-    rare = packed.select("k1", "k2", F.posexplode("rare").alias("k", "word"))
-    ids = rare.join(table.where(F.col("n") < least).select("word", "ids"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("k", "ids")).alias("found"))
-    whole = packed.select("k1", "k2", "doc_id", "packed").join(ids, ["k1", "k2"], "left").select("doc_id", "packed", "found")
-    return whole.mapInArrow(_filled, f"doc_id {kind.simpleString()}, ids array<int>")
+    schema = f"k1 long, k2 long, doc_id {type_of_id.simpleString()}, packed binary, rare array<string>"
+    packed = keyed.mapInArrow(_packed(spec, nearest, hashes), schema).repartition("k1", "k2")
+    # both readers of packed take all its columns, so that one shuffle serves them
+    rare = packed.mapInArrow(_listed, "k1 long, k2 long, k int, word string")
+    found = rare.join(table.where(F.col("n") < least).select("word", "ids"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("k", "ids")).alias("found"))
+    return packed.join(found, ["k1", "k2"], "left").mapInArrow(_filled(ids_of_ranks, kind), f"doc_id {type_of_id.simpleString()}, ids array<int>")
 
 
 def _decoded(spec):

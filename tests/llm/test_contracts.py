@@ -174,6 +174,24 @@ def test_bpe(spark):
     assert decode(encode(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("frequent, nearest", [(0, 0), (500, 100)])
+def test_bpe_rare_words(spark, monkeypatch, frequent, nearest):
+    from tokenizers import Tokenizer
+
+    from loomline.llm import bpe
+
+    t = Tokenizer.from_file(default_path())
+    t.no_truncation(), t.no_padding()
+    monkeypatch.setattr(bpe, "FREQUENT", frequent)
+    monkeypatch.setattr(bpe, "NEAREST", nearest)
+    docs = table(spark, "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = encode(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.ids == t.encode(texts[r.doc_id], add_special_tokens=False).ids, r.doc_id
+
+
 # op10
 
 
