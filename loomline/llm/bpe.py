@@ -29,6 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -47,6 +48,8 @@ FREQUENT, NEAREST = 1_000_000, 200_000
 SEED = 42
 #: A task emits its distinct words whenever it holds so many.
 HELD = 300_000
+#: Ids and bytes of text of which a task makes one batch of results, more only where one text has more.
+IDS_AT_ONCE, BYTES_AT_ONCE = 1_000_000, 8_000_000
 
 
 def default_path() -> str:
@@ -130,6 +133,8 @@ def _counted(spec):
                     seen.clear()
         if seen:
             yield out()
+        del seen
+        pa.default_memory_pool().release_unused()  # the worker may serve other stages next
 
     return run
 
@@ -168,6 +173,16 @@ def _least_frequent(table: DataFrame, most: int) -> int:
     return 1
 
 
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to most, or of one row that is larger."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(ends):
+        done = ends[lo - 1] if lo else 0
+        hi = max(int(np.searchsorted(ends, done + most, side="right")), lo + 1)
+        yield lo, hi
+        lo = hi
+
+
 def _as_bytes(**columns) -> bytes:
     """The columns as one Arrow stream, far smaller on the driver than Python objects."""
     table, sink = pa.table(columns), pa.BufferOutputStream()
@@ -219,14 +234,16 @@ def _packed(spec, nearest, hashes):
 
         words, pack = _splitter(spec.value), zstandard.ZstdCompressor(level=1).compress
         rank_of, none = _rank_of(nearest.value, hashes.value)
-        for batch in batches:
-            ranks, rare = [], []
-            for text in batch.column("text"):
-                own = words(text.as_py())
-                found = rank_of(own)
-                ranks.append(pack(np.ascontiguousarray(found.view(np.uint8).reshape(-1, 4).T).tobytes()))
-                rare.append([own[i] for i in np.flatnonzero(found == none).tolist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ranks, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "packed", "rare"])
+        for whole in batches:
+            for lo, hi in _cuts(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False), BYTES_AT_ONCE):
+                batch, ranks, rare = whole.slice(lo, hi - lo), [], []
+                for text in batch.column("text"):
+                    own = words(text.as_py())
+                    found = rank_of(own)
+                    ranks.append(pack(np.ascontiguousarray(found.view(np.uint8).reshape(-1, 4).T).tobytes()))
+                    rare.append([own[i] for i in np.flatnonzero(found == none).tolist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ranks, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "packed", "rare"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -252,7 +269,13 @@ def _filled(ids_of_ranks, kind: type):
             packed, found = batch.column("packed"), batch.column("found")
             bounds, rows = found.offsets.to_numpy(), found.values
             place, rare_ids = rows.field("k").to_numpy(zero_copy_only=False), rows.field("ids").to_pylist()
-            flat, sizes = [], []
+            flat, sizes, total = [], [], 0
+
+            def out(end: int) -> pa.RecordBatch:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                values = pa.array(np.concatenate(flat).astype(np.int32))
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(end - len(sizes), len(sizes)), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+
             for i in range(batch.num_rows):
                 rank = np.ascontiguousarray(np.frombuffer(unpack(packed[i].as_py()), np.uint8).reshape(4, -1).T).view(np.int32)[:, 0]
                 lo, hi = (bounds[i], bounds[i + 1]) if found[i].is_valid else (0, 0)
@@ -274,9 +297,13 @@ def _filled(ids_of_ranks, kind: type):
                     ids[beyond] = rare[where[beyond] - len(own)]
                 flat.append(ids)
                 sizes.append(len(ids))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            values = pa.array(np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+                total += len(ids)
+                if total >= IDS_AT_ONCE:
+                    yield out(i + 1)
+                    flat, sizes, total = [], [], 0
+            if sizes:
+                yield out(batch.num_rows)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -312,12 +339,17 @@ def _decoded(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(_pieces(spec.value), pa.large_binary())
         for batch in batches:
-            column = batch.column("ids")
-            bounds, spelled = column.offsets.to_numpy(), pieces.take(column.values)
-            ends = np.frombuffer(spelled.buffers()[1], np.int64)[: len(spelled) + 1]
-            body, valid = memoryview(spelled.buffers()[2] or b""), column.is_valid().to_pylist()
-            texts = [str(body[ends[bounds[i]] : ends[bounds[i + 1]]], "utf-8", "replace") if valid[i] else "" for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in _cuts(sizes, IDS_AT_ONCE):
+                part = batch.slice(lo, hi - lo)
+                column = part.column("ids")
+                bounds, valid = column.offsets.to_numpy(), column.is_valid().to_pylist()
+                spelled = pieces.take(column.values.slice(bounds[0], bounds[-1] - bounds[0]))
+                ends = np.frombuffer(spelled.buffers()[1], np.int64)[: len(spelled) + 1]
+                body, at = memoryview(spelled.buffers()[2] or b""), ends[bounds - bounds[0]].tolist()
+                texts = [str(body[at[i] : at[i + 1]], "utf-8", "replace") if valid[i] else "" for i in range(len(column))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        pa.default_memory_pool().release_unused()
 
     return run
 

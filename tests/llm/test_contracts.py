@@ -192,6 +192,46 @@ def test_bpe_rare_words(spark, monkeypatch, frequent, nearest):
         assert r.ids == t.encode(texts[r.doc_id], add_special_tokens=False).ids, r.doc_id
 
 
+def test_bpe_small_batches(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loomline.llm import bpe
+
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 5)
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 7)
+    assert list(bpe._cuts(np.array([3, 3, 9, 0, 1]), 5)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    with open(default_path(), encoding="utf-8") as f:
+        spec = SimpleNamespace(value=f.read())
+    texts = ["a b", None, "", "größer als 7 bytes", "a b a b", "x"]
+    vocabulary = {w: i for i, w in enumerate(["a", " b", "x"])}
+    own = [np.array(bpe._library(spec.value).encode(w, add_special_tokens=False).ids, np.uint16).tobytes() for w in vocabulary]
+    hashes = np.array([bpe_hash(w) for w in vocabulary], np.uint64)
+    order = np.argsort(hashes)
+    shared = [SimpleNamespace(value=bpe._as_bytes(**c)) for c in ({"word": ["a"]}, {"h": hashes[order], "rank": order.astype(np.int32)}, {"ids": pa.array(own, pa.binary())})]
+    n = len(texts)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(range(n)), pa.array(texts, pa.string())], ["k1", "k2", "doc_id", "text"])
+    packed = list(bpe._packed(spec, *shared[:2])(iter([rows.slice(0, 2), rows.slice(2)])))
+    assert sum(b.num_rows for b in packed) == n and len(packed) > 2
+    whole = pa.Table.from_batches(packed).combine_chunks().to_batches()[0]
+    listed = pa.Table.from_batches(bpe._listed(iter([whole.slice(0, 1), whole.slice(1)]))).to_pylist()
+    found = [[{"k": r["k"], "ids": np.array(bpe._library(spec.value).encode(r["word"], add_special_tokens=False).ids, np.uint16).tobytes()} for r in reversed(listed) if r["k1"] == i] or None for i in range(n)]
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("ids", pa.binary())]))
+    filled = list(bpe._filled(shared[2], np.uint16)(iter([whole.append_column("found", pa.array(found, kind))])))
+    want = [bpe._library(spec.value).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x for b in filled for x in b.column("ids").to_pylist()] == want and len(filled) == 2
+    decoded = list(bpe._decoded(spec)(iter(filled[:1] + [pa.Table.from_batches(filled[1:]).combine_chunks().to_batches()[0]])))
+    assert [x for b in decoded for x in b.column("decoded").to_pylist()] == [t or "" for t in texts]
+
+
+def bpe_hash(word):
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(word.encode(), 42)
+
+
 # op10
 
 
