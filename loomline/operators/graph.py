@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from loomline.functions.sequence import complement, pack, plain_reverse_complement
 
-from .shared import checkpointed, hinted
+from .shared import checkpointed, hinted, spread
 
 K, ABUNDANCE, CHUNK = 25, 150, 256
 #: Vertices broadcast, at most (8 bytes each).
@@ -27,6 +27,8 @@ def chunks(seqs: DataFrame, k: int = K, size: int = CHUNK) -> DataFrame:
 
     piece begins one base before offset (0-based), or at offset where that is 0.
     """
+    if not (k % 2 and 1 < k < 32):
+        raise ValueError(f"k is {k}: it must be odd, so that no k-mer is its own reverse complement, and from 3 to 31")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.length("seq").cast("long") - k), F.lit(size).cast("long")))
     cut = seqs.where(F.length("seq") >= k).select("chr", "seq", starts.alias("offset"))
     begin = F.greatest(F.lit(1), F.col("offset")).cast("int")
@@ -35,20 +37,27 @@ def chunks(seqs: DataFrame, k: int = K, size: int = CHUNK) -> DataFrame:
 
 
 def kmers(seqs: DataFrame, k: int = K, size: int = CHUNK) -> DataFrame:
-    """(chr, pos, kmer, prev, next) of every k-mer of bases A, C, G, T; prev and next are '' at the ends."""
+    """(chr, pos, kmer, rc, prev, next) of every k-mer of bases A, C, G, T; prev and next are '' at the ends.
+
+    rc, the reverse complement, is cut from the turned piece, and other characters are looked for in pieces first, so
+    that neither is worked out anew for each k-mer.
+    """
     lead = F.when(F.col("offset") > 0, 1).otherwise(0)
-    count = F.least(F.lit(size), F.length("piece") - lead - k + 1)
-    at = F.explode(F.sequence(F.lit(0), count - 1))
-    rows = chunks(seqs, k, size).where(count > 0).select("chr", "offset", "piece", lead.alias("lead"), at.alias("i"))
+    # each piece is turned and looked at here, as what stands beside an explode is worked out for each of its rows
+    pieces = chunks(seqs, k, size).select("*", F.length("piece").alias("n"), lead.alias("lead"), plain_reverse_complement(F.col("piece")).alias("turned"), (~F.col("piece").rlike("[^ACGT]")).alias("plain"))
+    count = F.least(F.lit(size), F.col("n") - F.col("lead") - k + 1)
+    rows = pieces.where(count > 0).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
     start = F.col("i") + F.col("lead")
     one = rows.select(
         "chr",
         (F.col("offset") + F.col("i")).alias("pos"),
+        "plain",
         F.substring(F.col("piece"), start + 1, F.lit(k)).alias("kmer"),
+        F.substring(F.col("turned"), F.col("n") - start - k + 1, F.lit(k)).alias("rc"),
         F.when(start > 0, F.substring(F.col("piece"), start, F.lit(1))).otherwise("").alias("prev"),
         F.substring(F.col("piece"), start + k + 1, F.lit(1)).alias("next"),
     )
-    return one.where(~F.col("kmer").rlike("[^ACGT]"))
+    return one.where(F.col("plain") | ~F.col("kmer").rlike("[^ACGT]")).drop("plain")
 
 
 def oriented(k_mers: DataFrame) -> DataFrame:
@@ -56,12 +65,11 @@ def oriented(k_mers: DataFrame) -> DataFrame:
 
     vertex is the packed canonical k-mer plus one, so it is never zero and a sign can tell the strand.
     """
-    rc = plain_reverse_complement(F.col("kmer"))
-    forward = F.col("kmer") < rc
+    forward = F.col("kmer") < F.col("rc")
     turned = lambda c: F.translate(c, "ACGT", "TGCA")
     return k_mers.select(
         "chr", "pos", "prev", "next",
-        (pack(F.least("kmer", rc)) + 1).alias("vertex"),
+        (pack(F.least("kmer", "rc")) + 1).alias("vertex"),
         F.when(forward, 1).otherwise(-1).cast("int").alias("strand"),
         F.when(forward, F.col("prev")).otherwise(turned("next")).alias("entering"),
         F.when(forward, F.col("next")).otherwise(turned("prev")).alias("leaving"),
@@ -85,7 +93,7 @@ def junctions(seqs: DataFrame, k: int = K, abundance: int | None = None) -> Data
     vid is signed by the strand; ch is the base after the k-mer ('' at the end), rev_ch the complement of the
     one before it (N at the start).
     """
-    found = oriented(kmers(seqs, k))
+    found = oriented(kmers(spread(seqs), k))
     kept = junction_vertices(found)
     if abundance is not None:
         kept = kept.where(F.col("abundance") < abundance)
@@ -127,3 +135,22 @@ def both_strands(index: DataFrame) -> DataFrame:
     plus = index.select("vid", "chr", "idx", "pos", F.lit(1).alias("strand"), "ch")
     minus = index.select((-F.col("vid")).alias("vid"), "chr", "idx", "pos", F.lit(-1).alias("strand"), F.col("rev_ch").alias("ch"))
     return plus.union(minus)
+
+
+def advanced(occurrences: DataFrame, n: int) -> DataFrame:
+    """occurrences with to_vid and to_pos: the junction n steps on along their strand (back, if n is negative), or nulls."""
+    on = occurrences.select("chr", "strand", (F.col("idx") - n * F.col("strand")).alias("idx"), F.col("vid").alias("to_vid"), F.col("pos").alias("to_pos"))
+    return occurrences.join(on, ["chr", "strand", "idx"], "left")
+
+
+def relative_index(occurrences: DataFrame) -> DataFrame:
+    """occurrences with nth, the ordinal from 0 of each along its own strand."""
+    counts = occurrences.groupBy("chr").agg((F.max("idx") + 1).alias("_n"))
+    nth = F.when(F.col("strand") > 0, F.col("idx")).otherwise(F.col("_n") - F.col("idx") - 1)
+    return occurrences.join(counts, "chr").withColumn("nth", nth).drop("_n")
+
+
+def position_sets(index: DataFrame) -> DataFrame:
+    """(chr, stretch, positions): the sorted places of junctions, one set for each STRETCH bases, so that none outgrows a row."""
+    sets = index.groupBy("chr", F.floor(F.col("pos") / STRETCH).alias("stretch")).agg(F.collect_set("pos").alias("positions"))
+    return sets.withColumn("positions", F.array_sort("positions"))

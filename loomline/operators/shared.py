@@ -22,6 +22,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its scan makes fewer tasks than there are, as of one small file; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hinted(df: DataFrame, rows: int):
     """broadcast(df) if it has at most so many rows, else df; df should be cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -100,16 +100,14 @@ def canonical_kmers(spark, sf_dir):
 @query(f"WITH {KMERS} SELECT canon, count(*) AS n, sum(strand)::BIGINT AS strands FROM oriented GROUP BY canon")
 def canonical_kmers_all(spark, sf_dir):
     k_mers = graph.kmers(seqs_of(spark, sf_dir))
-    rc = sq.plain_reverse_complement(F.col("kmer"))
-    both = k_mers.select(sq.pack(F.least("kmer", rc)).alias("packed"), F.when(F.col("kmer") < rc, 1).otherwise(-1).alias("strand"))
+    both = k_mers.select(sq.pack(F.least("kmer", "rc")).alias("packed"), F.when(F.col("kmer") < F.col("rc"), 1).otherwise(-1).alias("strand"))
     counted = both.groupBy("packed").agg(F.count("*").alias("n"), F.sum("strand").alias("strands"))
     return counted.select(sq.unpack(F.col("packed"), K).alias("canon"), "n", "strands")
 
 
 def packed_kmers(k_mers: DataFrame) -> DataFrame:
     """(canon, packed): every canonical k-mer of k_mers once."""
-    canon = F.least("kmer", sq.plain_reverse_complement(F.col("kmer")))
-    return k_mers.select(canon.alias("canon")).distinct().select("canon", sq.pack(F.col("canon")).alias("packed"))
+    return k_mers.select(F.least("kmer", "rc").alias("canon")).distinct().select("canon", sq.pack(F.col("canon")).alias("packed"))
 
 
 @query(f"WITH {KMERS} SELECT canon, {PACKED} - 1 AS packed FROM (SELECT DISTINCT canon FROM oriented WHERE pos % 256 = 255)")
@@ -342,3 +340,21 @@ def event_steps(spark, sf_dir):
 
 
 from loomline.plans import block_queries  # noqa: E402, F401  registers the queries of blocks and formats
+
+
+# cursors and position sets
+
+
+@query(
+    f"WITH {STRANDS}, n AS (SELECT chr, count(*) AS n FROM jx GROUP BY chr) SELECT o.chr, o.idx, o.strand, CASE WHEN o.strand > 0 THEN o.idx ELSE n - o.idx - 1 END AS nth, "
+    "t.vid AS to_vid, t.pos AS to_pos FROM occ o JOIN n USING (chr) LEFT JOIN occ t ON t.chr = o.chr AND t.strand = o.strand AND t.idx = o.idx + 3 * o.strand"
+)
+def cursor_advance(spark, sf_dir):
+    occurrences = graph.both_strands(index_of(spark, sf_dir))
+    return graph.relative_index(graph.advanced(occurrences, 3)).select("chr", "idx", "strand", "nth", "to_vid", "to_pos")
+
+
+@query(f"WITH {INDEX} SELECT chr, pos // {graph.STRETCH} AS stretch, string_agg(DISTINCT pos::VARCHAR, ',' ORDER BY pos::VARCHAR) AS positions FROM jx GROUP BY 1, 2")
+def junction_positions(spark, sf_dir):
+    sets = graph.position_sets(index_of(spark, sf_dir))
+    return sets.select("chr", "stretch", F.array_join(F.array_sort(F.col("positions").cast("array<string>")), ",").alias("positions"))
