@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .shared import numbered
+from .shared import checkpointed, numbered
 
 
 def binned(intervals: DataFrame, width: int) -> DataFrame:
@@ -76,18 +76,47 @@ def coverage(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     return blocks.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("covered")).crossJoin(total).select("covered", "bases", (F.col("covered") / F.col("bases")).alias("coverage"))
 
 
+def unclaimed(copies: DataFrame, claims: DataFrame, width: int = 1024) -> DataFrame:
+    """copies (_id, chr, start, end, ...) cut to their longest run that no claim (chr, start, end) holds, the first of equals.
+
+    Claims don't overlap each other. A copy that is claimed whole comes out with an end not after its start.
+    """
+    of = binned(claims.select("chr", "start", "end"), width).select("chr", "bin", F.col("start").alias("from"), F.col("end").alias("to"))
+    hits = binned(copies.select("_id", "chr", "start", "end"), width).join(of, ["chr", "bin"]).where("from < end and start < to").select("_id", "start", "end", "from", "to").distinct()
+    before = F.lag("to").over(Window.partitionBy("_id").orderBy("from"))
+    gaps = hits.select("_id", F.coalesce(before, F.col("start")).alias("s"), F.col("from").alias("e"))
+    tails = hits.groupBy("_id").agg(F.max("to").alias("s"), F.max("end").alias("e"))
+    run = F.struct("s", "e")
+    best = gaps.union(tails).groupBy("_id").agg(F.max_by(run, F.struct(F.col("e") - F.col("s"), -F.col("s"))).alias("best"))
+    return copies.join(best, "_id", "left").withColumn("start", F.coalesce("best.s", "start")).withColumn("end", F.coalesce("best.e", "end")).drop("best")
+
+
 def trimmed(instances: DataFrame, least: int) -> DataFrame:
     """Block copies (block, strand, chr, start, end) cut so that none overlaps another on its sequence.
 
-    Copies of larger blocks come first at one start; each begins where the furthest earlier one ends. Copies under
-    least and blocks of fewer than two copies go, and blocks are numbered anew by copies, then old number.
+    Blocks claim bases in order of copies, most first, then of block. A copy keeps its longest run that no block before
+    has claimed, and begins where copies of its own block before it end; copies under least go. A block left with
+    fewer than two copies claims nothing. Blocks are settled in rounds: all those that overlap no open block before
+    them at once. What is left is numbered anew by copies, then block.
     """
-    copies = instances.withColumn("copies", F.count("*").over(Window.partitionBy("block")))
-    order = Window.partitionBy("chr").orderBy("start", F.desc("copies"), F.desc("end"), "block", "strand")
-    prior = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = copies.withColumn("start", F.greatest("start", F.coalesce(prior, F.lit(0)))).where(F.col("end") - F.col("start") >= least)
-    kept = cut.withColumn("copies", F.count("*").over(Window.partitionBy("block"))).where("copies > 1")
-    numbers = kept.groupBy("block").agg(F.max("copies").alias("n"))
+    rank = F.struct((-F.count("*").over(Window.partitionBy("block"))).alias("n"), F.col("block"))
+    copies = checkpointed(instances.select("block", "strand", "chr", "start", "end", rank.alias("_rank"), F.monotonically_increasing_id().alias("_id")))
+    at = binned(copies.select("chr", "start", "end", "block", "_rank"), 1024)
+    other = at.select("chr", "bin", F.col("start").alias("from"), F.col("end").alias("to"), F.col("block").alias("before"), F.col("_rank").alias("_first"))
+    waits = at.join(other, ["chr", "bin"]).where("from < end and start < to and _first < _rank").select("block", "before").distinct()
+    waits, left = checkpointed(waits), checkpointed(copies)
+    kept = copies.where("false")
+    order = Window.partitionBy("block", "chr").orderBy("start", "end", "strand", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    while left.limit(1).count():
+        held = waits.select("block").distinct()
+        cut = unclaimed(left.join(held, "block", "left_anti"), kept).where(F.col("end") - F.col("start") >= least)
+        cut = cut.withColumn("start", F.greatest("start", F.coalesce(F.max("end").over(order), F.lit(0)))).where(F.col("end") - F.col("start") >= least)
+        many = cut.withColumn("_n", F.count("*").over(Window.partitionBy("block"))).where("_n > 1")
+        kept = checkpointed(kept.unionByName(many.select(*kept.columns)))
+        left = checkpointed(left.join(held, "block", "left_semi"))
+        still = left.select(F.col("block").alias("before")).distinct()
+        waits = checkpointed(waits.join(still, "before", "left_semi").select("block", "before"))
+    numbers = kept.groupBy("block").agg(F.count("*").alias("n"))
     return kept.join(renumbered(numbers), "block").select("block_id", "strand", "chr", "start", "end")
 
 
