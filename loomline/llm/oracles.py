@@ -42,4 +42,10 @@ counts AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, '
 based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_FAILS}) AS kept FROM based"""
 
-ORACLES = {"op1_url_filter": URL_FILTER, "op2_decontaminate": DECONTAMINATE, "op6_quality_rules": QUALITY_RULES}
+TOP_K = """WITH points AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.x, p.x)::BIGINT AS score FROM points q JOIN points p ON p.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+ORACLES = {"op11_top_k": TOP_K, "op1_url_filter": URL_FILTER, "op2_decontaminate": DECONTAMINATE, "op6_quality_rules": QUALITY_RULES}

@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .chat_format import chat_format
 from .common import read
+from .conversation_repair import damaged, repair
 from .decontaminate import decontaminate
 from .html_extract import html_extract
 from .line_dedup import line_dedup
+from .metric_search import top_k
 from .near_dup import near_duplicates
 from .oracles import ORACLES
 from .quality_model import quality_model
 from .quality_rules import quality_rules
 from .secret_scan import labelled_findings, secret_scan, train
 from .url_filter import url_filter
+from .whitening import whiten
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +93,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of")
+    made = whiten(read(spark, sf_dir, "embeddings")).select("vec_id", "n", "deviation", "identity_error", each)
+    return made.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_decontaminate, op3_quality_model, op4_html_extract, op5_chat_format,
         op6_quality_rules, op7_line_dedup, op8_secret_scan, op9_bpe, op10_near_duplicates,
+        op11_top_k, op12_whitening, op13_conversation_repair,
     )
 }
 
