@@ -9,6 +9,7 @@ exclude, pairs of a tree and a block of queries at a time.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,14 +73,12 @@ def grow(space: Space, x: np.ndarray, seed: int) -> list[dict]:
     """
     last, rng = space.last(x), np.random.default_rng(seed)
     pages: list[dict] = []
-
-    waiting = [(np.arange(len(x)), 0, space.between(x, last, x[0], last[0]), None)]
+    numbers = itertools.count(1)
+    waiting = [(0, np.arange(len(x)), 0, space.between(x, last, x[0], last[0]))]
     while waiting:
-        members, center, apart, above = waiting.pop()
-        made = {"node": len(pages), "object": center, "reach": float(apart.max()), "leaf": len(members) <= PAGE, "child": [], "entry": [], "apart": [], "radius": []}
+        node, members, center, apart = waiting.pop()
+        made = {"node": node, "object": center, "reach": float(apart.max()), "leaf": len(members) <= PAGE, "child": [], "entry": [], "apart": [], "radius": []}
         pages.append(made)
-        if above is not None:
-            above["child"].append(made["node"])
         if made["leaf"]:
             made.update(entry=members.tolist(), apart=apart.tolist(), radius=[0.0] * len(members))
             continue
@@ -97,7 +96,8 @@ def grow(space: Space, x: np.ndarray, seed: int) -> list[dict]:
                 made["entry"].append(int(members[o]))
                 made["apart"].append(float(apart[o]))
                 made["radius"].append(float(far[i][mine].max()))
-                waiting.append((members[mine], int(members[o]), far[i][mine], made))
+                made["child"].append(next(numbers))
+                waiting.append((made["child"][-1], members[mine], int(members[o]), far[i][mine]))
     return pages
 
 
@@ -236,7 +236,7 @@ def _searched(space: Space, k: int):
 
 def searched(pages: DataFrame, queries: DataFrame, space: Space, k: int) -> DataFrame:
     """Each query's k best of its tree; queries (row, query_id, x, tree, block, floor) meet the tree's pages by blocks."""
-    wanted = queries.select("tree", "block").distinct()
+    wanted = queries.select("tree", "block").distinct().toDF("tree", "block")
     return pages.join(wanted, "tree").groupBy("tree", "block").cogroup(queries.groupBy("tree", "block")).applyInArrow(_searched(space, k), FOUND)
 
 
