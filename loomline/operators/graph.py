@@ -1,25 +1,25 @@
 """The compacted de Bruijn graph as DataFrames: k-mers, junctions, their index and edges.
 
-Sequences are cut into chunks that overlap by k+1, so that positions are exploded from short strings; a
-junction is decided by one hash aggregation over packed k-mers with bit masks of neighbour bases.
+Junctions are decided and placed by the two passes of kmers.py. kmers() here gives k-mers as rows of strings, exploded
+from chunks that overlap by k+1, for whoever needs them so.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from loomline.functions.sequence import complement, pack, plain_reverse_complement
+from loomline.functions.sequence import plain_reverse_complement
 
-from .shared import checkpointed, hinted, spread
+from . import kmers as km
+from .shared import checkpointed
 
-K, ABUNDANCE, CHUNK = 25, 150, 256
-#: Vertices broadcast, at most (8 bytes each).
-BROADCAST_VERTICES = 1_000_000
+#: K and the number of places from which a junction is left out, unless told otherwise.
+K, ABUNDANCE = 25, 150
+CHUNK = 256
 #: Sequences are indexed in stretches of so many bases, so that none must be sorted whole.
 STRETCH = 1 << 20
-END = 16
 
 
 def chunks(seqs: DataFrame, k: int = K, size: int = CHUNK) -> DataFrame:
@@ -60,47 +60,17 @@ def kmers(seqs: DataFrame, k: int = K, size: int = CHUNK) -> DataFrame:
     return one.where(F.col("plain") | ~F.col("kmer").rlike("[^ACGT]")).drop("plain")
 
 
-def oriented(k_mers: DataFrame) -> DataFrame:
-    """(chr, pos, vertex, strand, entering, leaving, next, prev): k-mers by their canonical strand.
-
-    vertex is the packed canonical k-mer plus one, so it is never zero and a sign can tell the strand.
-    """
-    forward = F.col("kmer") < F.col("rc")
-    turned = lambda c: F.translate(c, "ACGT", "TGCA")
-    return k_mers.select(
-        "chr", "pos", "prev", "next",
-        (pack(F.least("kmer", "rc")) + 1).alias("vertex"),
-        F.when(forward, 1).otherwise(-1).cast("int").alias("strand"),
-        F.when(forward, F.col("prev")).otherwise(turned("next")).alias("entering"),
-        F.when(forward, F.col("next")).otherwise(turned("prev")).alias("leaving"),
-    )
-
-
-def _mask(ch: Column) -> Column:
-    return F.coalesce(*(F.when(ch == b, 1 << i) for i, b in enumerate("ACGT")), F.lit(END))
-
-
-def junction_vertices(found: DataFrame) -> DataFrame:
-    """(vertex, abundance) of the k-mers with several bases before or after them, or at an end (or at a base that is none)."""
-    masks = found.groupBy("vertex").agg(F.bit_or(_mask(F.col("entering"))).alias("i"), F.bit_or(_mask(F.col("leaving"))).alias("o"), F.count("*").alias("abundance"))
-    several = lambda c: (F.bit_count(F.col(c)) > 1) | (F.col(c) == END)
-    return masks.where(several("i") | several("o")).select("vertex", "abundance")
-
-
 def junctions(seqs: DataFrame, k: int = K, abundance: int | None = None) -> DataFrame:
     """(chr, pos, vid, ch, rev_ch): occurrences of junctions in fewer than abundance places, if that is given.
 
     vid is signed by the strand; ch is the base after the k-mer ('' at the end), rev_ch the complement of the
-    one before it (N at the start).
+    one before it (N at the start). The pieces of seqs are written once and read for sizes, vertices and places.
     """
-    found = oriented(kmers(spread(seqs), k))
-    kept = junction_vertices(found)
+    cut = checkpointed(km.pieces(seqs, k))
+    kept = km.junction_vertices(cut, k)
     if abundance is not None:
         kept = kept.where(F.col("abundance") < abundance)
-    kept = checkpointed(kept.select("vertex"))
-    at = found.join(hinted(kept, BROADCAST_VERTICES), "vertex")
-    rev = F.when(F.col("prev") == "", "N").otherwise(complement(F.col("prev")))
-    return at.select("chr", "pos", (F.col("vertex") * F.col("strand")).alias("vid"), F.col("next").alias("ch"), rev.alias("rev_ch"))
+    return km.places(cut, checkpointed(kept.select("vertex")), k)
 
 
 def indexed(found: DataFrame) -> DataFrame:

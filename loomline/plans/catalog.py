@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from loomline.functions import sequence as sq
 from loomline.operators import components as cc
 from loomline.operators import graph, intervals, seeds
+from loomline.operators import kmers as km
+from loomline.operators.shared import checkpointed
 from loomline.sources import formats
 from loomline.sources.adapters import document_sequences, event_sequences, read
 
@@ -80,10 +82,11 @@ def revcomp(spark, sf_dir):
     return seqs_of(spark, sf_dir).select("chr", F.md5(sq.reverse_complement(F.col("seq"))).alias("rc_md5"))
 
 
-@query(f"WITH {SEQS} SELECT chr, length(seq) > 0 AND regexp_full_match(seq, '[ACGT]*') AS definite, substr(seq, 1, 80) AS first_line, (length(seq) + 79) // 80 AS n_lines FROM seqs")
+@query(f"WITH {SEQS} SELECT chr, length(seq) > 0 AND regexp_full_match(seq, '[ACGT]*') AS definite, md5(rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10))) AS lines_md5, (length(seq) + 79) // 80 AS n_lines FROM seqs")
 def fasta_lines(spark, sf_dir):
     lines = F.split(sq.wrapped(F.col("seq")), "\n")
-    return seqs_of(spark, sf_dir).select("chr", sq.is_definite(F.col("seq")).alias("definite"), lines[0].alias("first_line"), F.when(F.col("size") > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"))
+    n = F.when(F.col("size") > 0, F.size(lines)).otherwise(0).cast("long")
+    return seqs_of(spark, sf_dir).select("chr", sq.is_definite(F.col("seq")).alias("definite"), F.md5(F.array_join(lines, "\n")).alias("lines_md5"), n.alias("n_lines"))
 
 
 @query(f"WITH {SEQS} SELECT name, md5(concat('>', name, chr(10), rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)))) AS record_md5 FROM seqs")
@@ -92,38 +95,27 @@ def fasta_records(spark, sf_dir):
     return records.select(F.regexp_extract("value", r"\A>([^\n]*)", 1).alias("name"), F.md5("value").alias("record_md5"))
 
 
-@query(f"WITH {KMERS} SELECT canon, count(*) AS n, sum(strand)::BIGINT AS strands FROM oriented GROUP BY canon HAVING count(*) > 1")
-def canonical_kmers(spark, sf_dir):
-    return canonical_kmers_all(spark, sf_dir).where("n > 1")
-
-
-@query(f"WITH {KMERS} SELECT canon, count(*) AS n, sum(strand)::BIGINT AS strands FROM oriented GROUP BY canon")
-def canonical_kmers_all(spark, sf_dir):
-    k_mers = graph.kmers(seqs_of(spark, sf_dir))
-    both = k_mers.select(sq.pack(F.least("kmer", "rc")).alias("packed"), F.when(F.col("kmer") < F.col("rc"), 1).otherwise(-1).alias("strand"))
-    counted = both.groupBy("packed").agg(F.count("*").alias("n"), F.sum("strand").alias("strands"))
-    return counted.select(sq.unpack(F.col("packed"), K).alias("canon"), "n", "strands")
+def counted_of(spark, sf_dir: str) -> DataFrame:
+    return km.counted(km.pieces(seqs_of(spark, sf_dir), K), K)
 
 
-def packed_kmers(k_mers: DataFrame) -> DataFrame:
-    """(canon, packed): every canonical k-mer of k_mers once."""
-    return k_mers.select(F.least("kmer", "rc").alias("canon")).distinct().select("canon", sq.pack(F.col("canon")).alias("packed"))
+def vertices_of(spark, sf_dir: str) -> DataFrame:
+    return km.junction_vertices(checkpointed(km.pieces(seqs_of(spark, sf_dir), K)), K)
 
 
-@query(f"WITH {KMERS} SELECT canon, {PACKED} - 1 AS packed FROM (SELECT DISTINCT canon FROM oriented WHERE pos % 256 = 255)")
-def kmer_pack(spark, sf_dir):
-    return packed_kmers(graph.kmers(seqs_of(spark, sf_dir)).where("pos % 256 = 255"))
+@query(f"WITH {KMERS} SELECT canon, count(*) AS n, sum(strand)::BIGINT AS strands FROM oriented GROUP BY canon")
+def canonical_kmers(spark, sf_dir):
+    return counted_of(spark, sf_dir).select(sq.unpack(F.col("packed"), K).alias("canon"), "n", "strands")
 
 
 @query(f"WITH {KMERS} SELECT canon, {PACKED} - 1 AS packed FROM (SELECT DISTINCT canon FROM oriented)")
-def kmer_pack_all(spark, sf_dir):
-    return packed_kmers(graph.kmers(seqs_of(spark, sf_dir)))
+def kmer_pack(spark, sf_dir):
+    return counted_of(spark, sf_dir).select(sq.unpack(F.col("packed"), K).alias("canon"), "packed")
 
 
 @query(f"WITH {KMERS} SELECT n AS abundance, count(*) AS kmers FROM (SELECT count(*) AS n FROM oriented GROUP BY canon) GROUP BY n")
 def kmer_abundance(spark, sf_dir):
-    found = graph.oriented(graph.kmers(seqs_of(spark, sf_dir)))
-    return found.groupBy("vertex").agg(F.count("*").alias("abundance")).groupBy("abundance").agg(F.count("*").alias("kmers"))
+    return counted_of(spark, sf_dir).groupBy(F.col("n").alias("abundance")).agg(F.count("*").alias("kmers"))
 
 
 # the junction graph
@@ -131,13 +123,12 @@ def kmer_abundance(spark, sf_dir):
 
 @query(f"WITH {VERTICES} SELECT vertex, abundance FROM vertices")
 def junctions(spark, sf_dir):
-    return graph.junction_vertices(graph.oriented(graph.kmers(seqs_of(spark, sf_dir))))
+    return vertices_of(spark, sf_dir)
 
 
 @query(f"WITH {VERTICES} SELECT abundance < {graph.ABUNDANCE} AS kept, count(*) AS vertices, sum(abundance)::BIGINT AS occurrences FROM vertices GROUP BY 1")
 def abundance_filter(spark, sf_dir):
-    found = graph.junction_vertices(graph.oriented(graph.kmers(seqs_of(spark, sf_dir))))
-    return found.groupBy((F.col("abundance") < graph.ABUNDANCE).alias("kept")).agg(F.count("*").alias("vertices"), F.sum("abundance").alias("occurrences"))
+    return vertices_of(spark, sf_dir).groupBy((F.col("abundance") < graph.ABUNDANCE).alias("kept")).agg(F.count("*").alias("vertices"), F.sum("abundance").alias("occurrences"))
 
 
 @query(f"WITH {INDEX} SELECT chr, idx, pos, vid FROM jx")
@@ -163,19 +154,11 @@ def edges_in(spark, sf_dir):
     return graph.reversed_edges(graph.edges(index_of(spark, sf_dir)))
 
 
-@query(
-    f'WITH {INDEX}, {STEPS}, both_ways AS (SELECT start, "end", ch, length FROM steps UNION ALL SELECT -"end", -start, rev_ch, length FROM steps) '
-    'SELECT start, "end", ch, count(*) AS capacity, min(length) AS shortest FROM both_ways GROUP BY start, "end", ch HAVING count(*) > 1'
-)
-def edge_multiplicity(spark, sf_dir):
-    return edge_multiplicity_all(spark, sf_dir).where("capacity > 1")
-
-
 @query(
     f'WITH {INDEX}, {STEPS}, both_ways AS (SELECT start, "end", ch, length FROM steps UNION ALL SELECT -"end", -start, rev_ch, length FROM steps) '
     'SELECT start, "end", ch, count(*) AS capacity, min(length) AS shortest FROM both_ways GROUP BY start, "end", ch'
 )
-def edge_multiplicity_all(spark, sf_dir):
+def edge_multiplicity(spark, sf_dir):
     steps = graph.edges(index_of(spark, sf_dir))
     both = steps.union(graph.reversed_edges(steps))
     return both.groupBy("start", "end", "ch").agg(F.count("*").alias("capacity"), F.min("length").alias("shortest"))
@@ -269,49 +252,32 @@ def interval_coverage(spark, sf_dir):
     return found.select("covered", "bases", F.round("coverage", 9).alias("coverage"))
 
 
-PARTS = """points AS (SELECT ps.l_suppkey AS chr, ps.l_orderkey AS id, ps.l_partkey * 11 % 5000 AS pos FROM lineitem ps WHERE ps.l_linenumber = 1),
+PARTS = """points AS (SELECT l_suppkey AS chr, l_orderkey AS id, l_linenumber AS line, l_partkey * 11 % 5000 AS pos FROM lineitem),
 windows AS (SELECT s_suppkey AS chr, k AS no, k * 500 + s_suppkey % 100 AS start, k * 500 + s_suppkey % 100 + 200 AS "end" FROM supplier, range(0, 10) t(k))"""
 
 
-WHOLE_PARTS = PARTS.replace("ps.l_orderkey AS id,", "ps.l_orderkey AS id, ps.l_linenumber AS line,").replace(" WHERE ps.l_linenumber = 1", "")
-
-
-def all_points_of(spark, sf_dir: str) -> DataFrame:
+def points_of(spark, sf_dir: str) -> DataFrame:
     """Every order line as a point (chr, id, line, pos)."""
     rows = read(spark, sf_dir, "lineitem")
     return rows.select(F.col("l_suppkey").alias("chr"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") * 11 % 5000).alias("pos"))
 
 
-def points_of(spark, sf_dir: str) -> DataFrame:
-    return all_points_of(spark, sf_dir).where("line = 1").drop("line")
-
-
 def windows_of(spark, sf_dir: str) -> DataFrame:
     k = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chr"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("no"))
     start = F.col("no") * 500 + F.col("chr") % 100
     return k.select("chr", "no", start.alias("start"), (start + 200).alias("end"))
 
 
-@query(f'WITH {PARTS} SELECT p.chr, id, pos, no, start, "end" FROM points p JOIN windows w ON p.chr = w.chr AND pos >= start AND pos < "end"')
+@query(f'WITH {PARTS} SELECT p.chr, id, line, pos, no, start, "end" FROM points p JOIN windows w ON p.chr = w.chr AND pos >= start AND pos < "end"')
 def interval_containment(spark, sf_dir):
     return intervals.containing(points_of(spark, sf_dir), windows_of(spark, sf_dir))
 
 
-@query(f'WITH {WHOLE_PARTS} SELECT p.chr, id, line, pos, no, start, "end" FROM points p JOIN windows w ON p.chr = w.chr AND pos >= start AND pos < "end"')
-def interval_containment_all(spark, sf_dir):
-    return intervals.containing(all_points_of(spark, sf_dir), windows_of(spark, sf_dir))
-
-
-@query(f'WITH {PARTS} SELECT chr, id, pos FROM points p WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE p.chr = w.chr AND pos >= start AND pos < "end")')
+@query(f'WITH {PARTS} SELECT chr, id, line, pos FROM points p WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE p.chr = w.chr AND pos >= start AND pos < "end")')
 def interval_anti(spark, sf_dir):
     return intervals.outside(points_of(spark, sf_dir), windows_of(spark, sf_dir))
 
 
-@query(f'WITH {WHOLE_PARTS} SELECT chr, id, line, pos FROM points p WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE p.chr = w.chr AND pos >= start AND pos < "end")')
-def interval_anti_all(spark, sf_dir):
-    return intervals.outside(all_points_of(spark, sf_dir), windows_of(spark, sf_dir))
-
-
 @query(
     "SELECT event_id, chr, moment, click FROM (SELECT event_id, user_id AS chr, epoch_us(ts) AS moment, event_type, "
     "max(CASE WHEN event_type = 'click' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS click FROM events) WHERE event_type = 'purchase'"
@@ -346,8 +312,9 @@ from loomline.plans import block_queries  # noqa: E402, F401  registers the quer
 
 
 @query(
-    f"WITH {STRANDS}, n AS (SELECT chr, count(*) AS n FROM jx GROUP BY chr) SELECT o.chr, o.idx, o.strand, CASE WHEN o.strand > 0 THEN o.idx ELSE n - o.idx - 1 END AS nth, "
-    "t.vid AS to_vid, t.pos AS to_pos FROM occ o JOIN n USING (chr) LEFT JOIN occ t ON t.chr = o.chr AND t.strand = o.strand AND t.idx = o.idx + 3 * o.strand"
+    f"WITH {INDEX}, turns AS (SELECT *, count(*) OVER (PARTITION BY chr) AS n, lead(vid, 3) OVER w AS vid_on, lead(pos, 3) OVER w AS pos_on, lag(vid, 3) OVER w AS vid_back, lag(pos, 3) OVER w AS pos_back "
+    "FROM jx WINDOW w AS (PARTITION BY chr ORDER BY idx)) SELECT chr, idx, 1 AS strand, idx AS nth, vid_on AS to_vid, pos_on AS to_pos FROM turns "
+    "UNION ALL SELECT chr, idx, -1, n - idx - 1, -vid_back, pos_back FROM turns"
 )
 def cursor_advance(spark, sf_dir):
     occurrences = graph.both_strands(index_of(spark, sf_dir))
