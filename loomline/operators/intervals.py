@@ -51,6 +51,19 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, width
     return near.join(carried, [key, "_bin"], "left").select(*left.columns, F.coalesce("_near", "_far").alias(value))
 
 
+def running(rows: DataFrame, key: str, at: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """rows with name, the sum of value over the rows of the same key before at (a number; rows of one place don't count each other).
+
+    Sums are taken within stretches of width and shifted by those of the stretches before, so that one key is sorted by many tasks.
+    """
+    cut = rows.withColumn("_bin", F.floor(F.col(at) / width))
+    here = Window.partitionBy(key, "_bin").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(key, "_bin").agg(F.sum(value).alias("_sum")).select(key, "_bin", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = cut.withColumn("_own", F.coalesce(F.sum(value).over(here), F.lit(0)))
+    return own.join(sums, [key, "_bin"]).select(*rows.columns, (F.col("_before") + F.col("_own")).cast("long").alias(name))
+
+
 def merged(intervals: DataFrame) -> DataFrame:
     """(chr, start, end): the union of intervals; those that touch are one."""
     once = intervals.where("end > start").groupBy("chr", "start").agg(F.max("end").alias("end"))

@@ -1,17 +1,22 @@
-"""Checkpoints in the folder that all executors share."""
+"""Written steps in the folder that all executors share, and ordinals over ranges."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder that the session names in spark.checkpoint.dir."""
+    """df cut from its lineage: written as Parquet in the folder that the session names in spark.checkpoint.dir, and read again.
+
+    What is read has the sizes of its files, so that joins with small tables are planned as such; a checkpoint keeps the
+    estimates of the plan that it cuts, which grow without bound in a loop of joins.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -19,18 +24,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
         folder = folder or tempfile.mkdtemp(prefix="spark-")  # one machine, as in tests
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if its scan makes fewer tasks than there are, as of one small file; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hinted(df: DataFrame, rows: int):
-    """broadcast(df) if it has at most so many rows, else df; df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def counted(df: DataFrame, **conditions) -> tuple[DataFrame, dict[str, int]]:
+    """checkpointed(df), and how many of its rows meet each condition, seen as they are written."""
+    seen = Observation()
+    made = checkpointed(df.observe(seen, *(F.count_if(c).alias(name) for name, c in conditions.items())))
+    return made, seen.get
 
 
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:

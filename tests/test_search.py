@@ -1,0 +1,229 @@
+"""The search in rounds against a version in plain Python, on genomes with many copies, unrelated groups and odd ends."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from loomline.operators import graph, search
+
+from test_graph import rc, seqs
+
+BRANCH, LEAST = 60, 30
+
+
+def bases(n, seed):
+    rng = random.Random(seed)
+    return "".join(rng.choice("ACGT") for _ in range(n))
+
+
+def mutated(text, rate, seed):
+    rng = random.Random(seed)
+    return "".join(rng.choice("ACGT".replace(c, "")) if rng.random() < rate else c for c in text)
+
+
+def genomes():
+    a, b, c = bases(500, 1), bases(260, 2), bases(300, 3)
+    rng = random.Random(9)
+    high = bases(80, 4)
+    return {
+        "high_copy": [(i, bases(40, 100 + i) + mutated(high, 0.02, i) + bases(30, 200 + i)) for i in range(9)],
+        "disjoint_components": [(1, a), (2, mutated(a, 0.03, 5)), (3, b + bases(50, 6)), (4, rc(b)), (5, bases(200, 7))],
+        "end_shared": [(1, bases(120, 8) + a[:60]), (2, bases(150, 10) + a[:60]), (3, a[:60] + bases(80, 11))],
+        "nested": [(1, a + b), (2, a[:200] + c + a[200:]), (3, a[150:350] + b), (4, rc(a[100:400])), (5, b[:100] + b[:100] + b)],
+        "shuffled": [(i, "".join(mutated(rng.choice([a[:200], a[200:400], b, rc(b), c]), 0.02, 10 * i + j) for j in range(4))) for i in range(4)],
+        "no_hit": [(1, bases(100, 20)), (2, bases(100, 21)), (3, "")],
+    }
+
+
+class Plain:
+    """One occurrence a tuple (vid, chr, idx, pos, strand, ch); all loops, no joins."""
+
+    def __init__(self, occurrences, k):
+        self.all, self.k = occurrences, k
+
+    def out(self, o):
+        return (o[1], o[2] if o[4] > 0 else o[2] - 1)
+
+    def clear(self, used, chr_, a, b):
+        return not any((chr_, i) in used for i in range(min(a, b), max(a, b)))
+
+    def met(self, rows, used):
+        live = [o for o in rows if self.out(o) not in used]
+        for o in live:
+            ahead = sorted((abs(x[3] - o[3]), x) for x in live if x[1] == o[1] and x[4] == o[4] and (x[3] - o[3]) * o[4] > 0 and self.clear(used, o[1], o[2], x[2]))
+            seen = set()
+            for d, x in ahead:
+                if abs(x[0]) == abs(o[0]) or d > BRANCH:
+                    break
+                if x[0] not in seen:
+                    yield o, x[0], d, None
+                seen.add(x[0])
+            for d, x in ahead:
+                if x[2] == o[2] + o[4] and d > BRANCH and abs(x[0]) != abs(o[0]):
+                    yield o, x[0], d, o[5]
+
+    def links(self, rows, used, weights):
+        votes = defaultdict(list)
+        for o, w, d, edge in self.met(rows, used):
+            votes[o[0], w, edge].append((weights.get((o[1], o[2]), 1), (o[1], o[2]), d))
+        best = {}
+        for (v, w, edge), x in votes.items():
+            if len(x) > 1:
+                first, d = min(y[1] for y in x), min(y[2] for y in x)
+                key = (sum(y[0] for y in x), -first[0], -first[1], -d, -w, edge is not None, edge or "")
+                if v not in best or key > best[v][0]:
+                    best[v] = key, w, edge, d
+        return {v: (w, edge, d) for v, (_, w, edge, d) in best.items() if best.get(-w, (0, None))[1] == -v}
+
+    def paths(self, linked):
+        heads = {}
+        back = {w: v for v, (w, _, _) in linked.items()}
+        for v in set(linked) | set(back):
+            ring, x = [v], v
+            while x in back and back[x] not in ring:
+                x = back[x]
+                ring.append(x)
+            if x in back:  # a cycle: it begins at its least junction
+                x = min(ring)
+                cyclic = True
+            else:
+                cyclic = False
+            heads[v] = x, cyclic
+        found = {}
+        for v, (head, _) in heads.items():
+            at, far, x = 0, 0, head
+            while x != v:
+                at, far, x = at + 1, far + linked[x][2], linked[x][0]
+            found[v] = head, at, far
+        return found
+
+    def lanes(self, rows, used, linked, of_path):
+        last = {}
+        for v, (path, at, _) in of_path.items():
+            if at >= last.get(path, (-1, 0))[0]:
+                last[path] = at, v
+        by = defaultdict(list)
+        for o in rows:
+            if o[0] in of_path:
+                path, at, far = of_path[o[0]]
+                if path <= -last[path][1]:
+                    by[path, o[1], o[4]].append((o[3], at, far, o[2], o[0], o[5]))
+        copies = []
+        for (path, chr_, strand), on in by.items():
+            on.sort()
+            here = []
+            for x in on:
+                if here:
+                    y = here[-1]
+                    step = (x[1] - y[1]) * strand
+                    leaves = y if strand > 0 else x
+                    edge = linked.get(leaves[4], (0, None, 0))[1]
+                    whole = step == 1 and x[3] - y[3] == 1 and edge is not None and leaves[5] == edge
+                    if not (step > 0 and (x[0] - y[0] <= BRANCH or whole) and self.clear(used, chr_, x[3], y[3])):
+                        copies.append((path, chr_, strand, here))
+                        here = []
+                here.append(x)
+            copies.append((path, chr_, strand, here))
+        return copies
+
+    def long(self, on):
+        return on[-1][0] + self.k - on[0][0] >= LEAST and on[-1][3] > on[0][3]
+
+    def cut(self, spans):
+        """Blocks of one path by trying all ends of each begin."""
+        ends = sorted({x[:2] for x in spans} | {x[2:] for x in spans})
+        i = 0
+        while i < len(ends) - 1:
+            tries = []
+            for j in range(i + 1, len(ends)):
+                a, b = ends[i][1], ends[j][1]
+                good = [(max(f - a, 0), max(b - t, 0), min(t, b) - max(f, a)) for _, f, _, t in spans if min(t, b) > max(f, a) and min(t, b) - max(f, a) + self.k >= LEAST]
+                if any(x >= BRANCH or y >= BRANCH for x, y, _ in good):
+                    break
+                tries.append((sum(n - (x + y) ** 2 for x, y, n in good), -j, len(good)))
+            best = max((t for t in tries if t[2] > 1 and t[0] > 0), default=None)
+            if best:
+                yield ends[i][0], ends[-best[1]][0], best[0]
+            i = -best[1] if best else i + 1
+
+    def search(self):
+        used, found, weights, turn, touched = set(), [], {}, 0, None
+        first = True
+        while True:
+            rows = self.all
+            if touched is not None:
+                near = {o[0] for o in rows if o[1] in touched}
+                chrs = {o[1] for o in rows if o[0] in near}
+                rows = [o for o in rows if o[1] in chrs]
+            count = defaultdict(int)
+            for o in rows:
+                count[o[0]] += self.out(o) not in used
+            rows = [o for o in rows if count[o[0]] > 1 or count[-o[0]] > 1]
+            for _ in range(2 if first else 1):
+                linked = self.links(rows, used, weights)
+                of_path = self.paths(linked)
+                copies = self.lanes(rows, used, linked, of_path)
+                weights = {}
+                for _, chr_, _, on in copies:
+                    for x in on:
+                        weights[chr_, x[3]] = max(weights.get((chr_, x[3]), 0), on[-1][0] - on[0][0] + 1)
+            first = False
+            spans = defaultdict(list)
+            for path, _, _, on in copies:
+                if self.long(on):
+                    lo, hi = min(x[1:3] for x in on), max(x[1:3] for x in on)
+                    spans[path].append((*lo, *hi))
+            made = []
+            for path, x in spans.items():
+                for lo, hi, score in self.cut(x):
+                    cuts = [(chr_, strand, c) for p, chr_, strand, on in copies if p == path for c in [[y for y in on if lo <= y[1] <= hi]] if c and self.long(c)]
+                    if len(cuts) > 1:
+                        made.append(((-len(cuts), -score, path, lo), cuts))
+            if not made:
+                return sorted(found)
+            touched, now = set(), set()
+            for (_, _, path, lo), cuts in sorted(made):
+                edges = {(chr_, i) for chr_, _, c in cuts for i in range(c[0][3], c[-1][3])}
+                if not edges & now:
+                    now |= edges
+                    touched |= {chr_ for chr_, _, _ in cuts}
+                    found += [(turn, path, lo, chr_, c[0][0], c[-1][0] + self.k, "+" if strand > 0 else "-") for chr_, strand, c in cuts]
+            used |= now
+            turn += 1
+
+
+@pytest.mark.parametrize("name", list(genomes()))
+def test_rounds_equal_plain_python(spark, name):
+    k = 11
+    occ = graph.both_strands(graph.indexed(graph.junctions(seqs(spark, genomes()[name]), k, 150))).cache()
+    want = Plain([tuple(r) for r in occ.select("vid", "chr", "idx", "pos", "strand", "ch").collect()], k).search()
+    got = search.raw_blocks(occ, k, BRANCH, LEAST).collect()
+    assert sorted((r.block["round"], r.block["path"], r.block["lo"], r.chr, r.start, r.end, r.strand) for r in got) == want
+    assert bool(want) == (name != "no_hit")
+    if name == "disjoint_components":
+        groups = defaultdict(set)
+        for r in got:
+            groups[r.block].add(r.chr)
+        assert all(x <= {1, 2} or x <= {3, 4} for x in groups.values()) and {1, 2} in groups.values() and {3, 4} in groups.values()
+    if name == "high_copy":
+        assert max(sum(r.block == b.block for r in got) for b in got) >= 7
+
+
+def test_used_edges_end_votes_and_copies(spark):
+    core = bases(400, 30)
+    occ = graph.both_strands(graph.indexed(graph.junctions(seqs(spark, [(1, core), (2, mutated(core, 0.03, 31)), (3, core[50:350])]), 11, 150))).cache()
+    used = occ.where("chr = 1 and strand > 0 and idx in (3, 4, 9)").select("chr", "idx")
+    rows = {(r.chr, r.idx, r.strand): r for r in search.open_rows(occ, used).collect()}
+    for (c, i, s), r in rows.items():
+        assert r.run == (sum(x < i for x in (3, 4, 9)) if c == 1 else 0)
+        assert r.live == (c != 1 or (i if s > 0 else i - 1) not in (3, 4, 9))
+
+
+def test_best_prefix():
+    # two copies end where a third goes on alone with a fourth: the block is cut within a few bases of the ends
+    spans = [(0, 50, 0, 500), (0, 51, 0, 502), (0, 99, 0, 990), (0, 99, 0, 990)]
+    assert list(search.best_prefixes(spans, 11, 60, 30)) == [(0, 51, 500 - 2**2 + 3 * 502), (51, 99, 2 * 488)]
+    # a copy that begins or ends branch off the tips parts blocks; a lone copy makes none
+    assert [x[:2] for x in search.best_prefixes([(0, 90, 0, 900), (10, 90, 100, 900)], 11, 60, 30)] == [(10, 90)]
+    assert list(search.best_prefixes([(0, 9, 0, 90)], 11, 60, 30)) == []
