@@ -51,36 +51,36 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, width
     return near.join(carried, [key, "_bin"], "left").select(*left.columns, F.coalesce("_near", "_far").alias(value))
 
 
-def running(rows: DataFrame, key: str, at: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
-    """rows with name, the sum of value over the rows of the same key before at (a number; rows of one place don't count each other).
+def running(rows: DataFrame, key: str, at: str, value: str, name: str, width: int = 1 << 16, of=F.sum) -> DataFrame:
+    """rows with name, the sum (or what of gives: F.max) of value over the rows of the same key before at, a number; null if there is none.
 
-    Sums are taken within stretches of width and shifted by those of the stretches before, so that one key is sorted by many tasks.
+    Rows of one place don't count each other. Values are joined within stretches of width, and over the stretches
+    before, so that one key is sorted by many tasks.
     """
     cut = rows.withColumn("_bin", F.floor(F.col(at) / width))
     here = Window.partitionBy(key, "_bin").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(key, "_bin").agg(F.sum(value).alias("_sum")).select(key, "_bin", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    own = cut.withColumn("_own", F.coalesce(F.sum(value).over(here), F.lit(0)))
-    return own.join(sums, [key, "_bin"]).select(*rows.columns, (F.col("_before") + F.col("_own")).cast("long").alias(name))
+    bins = cut.groupBy(key, "_bin").agg(of(value).alias("_all")).select(key, "_bin", of("_all").over(before).alias("_before"))
+    own = cut.withColumn("_own", of(value).over(here))
+    both = F.col("_before") + F.col("_own") if of is F.sum else F.greatest("_before", "_own")
+    return own.join(bins, [key, "_bin"]).select(*rows.columns, F.coalesce(both, "_before", "_own").alias(name))
 
 
-def merged(intervals: DataFrame) -> DataFrame:
-    """(chr, start, end): the union of intervals; those that touch are one."""
+def merged(intervals: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """(chr, start, end): the union of intervals; those that touch are one. A sequence is worked on in stretches of width bases."""
     once = intervals.where("end > start").groupBy("chr", "start").agg(F.max("end").alias("end"))
-    order = Window.partitionBy("chr").orderBy("start")
-    prior = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begun = once.withColumn("new", F.when(F.col("start") <= prior, 0).otherwise(1))
-    island = begun.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("chr", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    prior = running(once, "chr", "start", "end", "prior", width, F.max)
+    begun = prior.withColumn("new", F.when(F.col("start") <= F.col("prior"), 0).otherwise(1))
+    island = running(begun, "chr", "start", "new", "islands", width)
+    return island.groupBy("chr", (F.coalesce("islands", F.lit(0)) + F.col("new")).alias("island")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def uncovered(sizes: DataFrame, intervals: DataFrame) -> DataFrame:
+def uncovered(sizes: DataFrame, intervals: DataFrame, width: int = 1 << 20) -> DataFrame:
     """(chr, start, end): the maximal runs of sequences (chr, size) that no interval covers."""
-    covered = merged(intervals).join(sizes, "chr").select("chr", "start", F.least("end", "size").alias("end"), "size").where("start < size")
-    order = Window.partitionBy("chr").orderBy("start")
-    gaps = covered.select("chr", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("start"), F.col("start").alias("end"))
-    tails = sizes.join(covered.groupBy("chr").agg(F.max("end").alias("last")), "chr", "left").select("chr", F.coalesce("last", F.lit(0)).alias("start"), F.col("size").alias("end"))
-    return gaps.union(tails).where("end > start")
+    covered = merged(intervals, width).join(sizes, "chr").select("chr", "start", F.least("end", "size").alias("end"), "size").where("start < size")
+    gaps = running(covered, "chr", "start", "end", "last", width, F.max).select("chr", F.coalesce("last", F.lit(0)).alias("from"), F.col("start").alias("to"))
+    tails = sizes.join(covered.groupBy("chr").agg(F.max("end").alias("last")), "chr", "left").select("chr", F.coalesce("last", F.lit(0)).alias("from"), F.col("size").alias("to"))
+    return gaps.union(tails).where("to > from").toDF("chr", "start", "end")
 
 
 def coverage(blocks: DataFrame, sizes: DataFrame) -> DataFrame:

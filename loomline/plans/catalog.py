@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from loomline.functions import sequence as sq
 from loomline.operators import components as cc
-from loomline.operators import graph, intervals, seeds
+from loomline.operators import graph, intervals, seeds, synteny
 from loomline.operators import kmers as km
 from loomline.operators.shared import checkpointed
 from loomline.sources import formats
@@ -214,10 +214,10 @@ def components(spark, sf_dir):
 # intervals
 
 
-def supplier_intervals(spark, sf_dir: str) -> DataFrame:
-    """Intervals on suppliers, made of order lines: (chr, start, end)."""
+def supplier_intervals(spark, sf_dir: str, *more) -> DataFrame:
+    """Intervals on suppliers, made of order lines: (chr, start, end), and more columns."""
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("chr"), (F.col("l_partkey") * 7 % 5000).alias("start"), (F.col("l_partkey") * 7 % 5000 + F.col("l_quantity").cast("long")).alias("end")
+        *more, F.col("l_suppkey").alias("chr"), (F.col("l_partkey") * 7 % 5000).alias("start"), (F.col("l_partkey") * 7 % 5000 + F.col("l_quantity").cast("long")).alias("end")
     )
 
 
@@ -305,6 +305,27 @@ def event_steps(spark, sf_dir):
     return both.select("chr", "event_id", (F.col("before") + F.col("own") - 1).cast("long").alias("idx"), F.when(F.col("own") == F.col("n"), F.col("far")).otherwise(F.col("near")).alias("next_id"))
 
 
+@query(
+    "SELECT event_id, user_id AS chr, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) "
+    "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS bought FROM events"
+)
+def used_prefix(spark, sf_dir):
+    """How many purchases a user made before each event: the prefix sum by which used edges are counted."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("chr"), F.unix_micros(F.col("ts").cast("timestamp")).alias("moment"), (F.col("event_type") == "purchase").cast("int").alias("buys"))
+    return intervals.running(rows, "chr", "moment", "buys", "bought", width=3_600_000_000).select("event_id", "chr", "bought")
+
+
+@query(
+    'WITH copies AS (SELECT l_suppkey AS chr, l_orderkey * (CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END) AS v, l_partkey * 7 % 5000 AS start, l_partkey * 7 % 5000 + l_quantity::BIGINT AS "end" FROM lineitem), '
+    'pairs AS (SELECT v AS a, lead(v) OVER w AS b, chr, lead(start) OVER w - "end" AS gap FROM copies WINDOW w AS (PARTITION BY chr ORDER BY start, "end", v)) '
+    "SELECT a, b, chr, gap FROM pairs WHERE b IS NOT NULL AND gap <= 3"
+)
+def block_neighbours(spark, sf_dir):
+    """Order lines as copies of blocks: signed neighbours on each supplier, the edges of the block graph."""
+    strand = F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-")
+    return synteny.neighbours(supplier_intervals(spark, sf_dir, F.col("l_orderkey").alias("block_id"), strand.alias("strand")), 3)
+
+
 from loomline.plans import block_queries  # noqa: E402, F401  registers the queries of blocks and formats
 
 

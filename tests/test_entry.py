@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 AT = "/root/testdata/sf0.001"
-QUICK = ["seq_scan", "revcomp", "fasta_lines", "abundance_filter", "covered_runs", "uncovered_runs", "interval_coverage", "interval_containment", "interval_anti", "nearest_instance", "event_steps"]
+QUICK = ["seq_scan", "revcomp", "fasta_lines", "abundance_filter", "covered_runs", "uncovered_runs", "interval_coverage", "interval_containment", "interval_anti", "nearest_instance", "event_steps", "used_prefix", "block_neighbours"]
 
 
 def test_names():

@@ -153,7 +153,7 @@ class Plain:
         while True:
             rows = self.all
             if touched is not None:
-                near = {o[0] for o in rows if o[1] in touched}
+                near = {o[0] for o in rows if (o[1], o[2]) in touched}
                 chrs = {o[1] for o in rows if o[0] in near}
                 rows = [o for o in rows if o[1] in chrs]
             count = defaultdict(int)
@@ -187,7 +187,7 @@ class Plain:
                 edges = {(chr_, i) for chr_, _, c in cuts for i in range(c[0][3], c[-1][3])}
                 if not edges & now:
                     now |= edges
-                    touched |= {chr_ for chr_, _, _ in cuts}
+                    touched |= {(chr_, i) for chr_, _, c in cuts for i in range(c[0][3] - 8, c[-1][3] + 9)}
                     found += [(turn, path, lo, chr_, c[0][0], c[-1][0] + self.k, "+" if strand > 0 else "-") for chr_, strand, c in cuts]
             used |= now
             turn += 1
@@ -198,7 +198,7 @@ def test_rounds_equal_plain_python(spark, name):
     k = 11
     occ = graph.both_strands(graph.indexed(graph.junctions(seqs(spark, genomes()[name]), k, 150))).cache()
     want = Plain([tuple(r) for r in occ.select("vid", "chr", "idx", "pos", "strand", "ch").collect()], k).search()
-    got = search.raw_blocks(occ, k, BRANCH, LEAST).collect()
+    got = search.raw_blocks(occ, k, BRANCH, LEAST, None).collect()
     assert sorted((r.block["round"], r.block["path"], r.block["lo"], r.chr, r.start, r.end, r.strand) for r in got) == want
     assert bool(want) == (name != "no_hit")
     if name == "disjoint_components":
