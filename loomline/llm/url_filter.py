@@ -83,13 +83,15 @@ def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, default: st
     A host/path rule fits its host and all subdomains where the path starts with the rule's path; the
     longest that fits gives rule and verdict, and at equal length allow goes first. Else the verdict is
     block if a pattern rule fits, else the default, and rule is null. Null urls and urls without :// have an
-    empty host and path and get the default. Repeated rows are judged alike; an empty table gives an empty one.
+    empty host and path and get the default. Rules without a token are tried on every url. Repeated rows are judged alike; an empty table gives an empty one.
     """
     spark = pages.sparkSession
     host, path = split_url(F.col("url").cast("string"))
     distinct = pages.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct().select("url", F.concat(host, path).alias("place"))
     flat = distinct.select("url", "place", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("place", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    table = rule_table(spark, rules).withColumn("token", F.explode("tokens"))
+    table = rule_table(spark, rules).withColumn("token", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))))
+    if any(not r.tokens for r in rules):  # a rule without a token is a candidate of every url
+        flat = flat.unionByName(distinct.select("url", "place", F.lit("").alias("token")))
     small = len(rules) <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda x: x)
     counts = flat.select("token").join(hint(table.select("token").distinct()), "token").groupBy("token").count()

@@ -12,7 +12,7 @@ from loomline.llm.decontaminate import decontaminate
 from loomline.llm.html_extract import html_extract, main_text
 from loomline.llm.near_dup import near_duplicates
 from loomline.llm.quality_rules import quality_rules
-from loomline.llm.url_filter import url_filter
+from loomline.llm.url_filter import UrlRule, url_filter
 
 AT = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +66,10 @@ def test_urls(spark):
                 assert r.verdict in ("allow", "block")
     assert url_filter(mine.limit(0)).count() == 0
     assert "token" in url_filter(mine).columns
+    # a rule without tokens is tried on every url
+    got = url_filter(mine, (UrlRule("block", "^[^a]", ()), UrlRule("allow", "x", ("x",)))).select("host", "path", "verdict").collect()
+    assert all(r.verdict == ("block" if (r.host + r.path)[:1] not in ("", "a") and "x" not in re.findall("[a-z0-9]+", (r.host + r.path).lower()) else r.verdict) for r in got)
+    assert any(r.verdict == "block" for r in got)
 
 
 # op2
