@@ -69,9 +69,9 @@ def test_golden_file(spark):
     assert got.covered == 11_972_111 and round(got.coverage, 5) == 0.99687
     again = intervals.trimmed(blocks.select("block_id", "strand", "chr", "start", "end").withColumnRenamed("block_id", "block"), 50)
     assert again.count() == 6792  # copies that don't overlap stay as they are
-    scales = synteny.synteny_blocks(blocks, (30, 500, 5000)).cache()
+    scales = synteny.synteny_blocks(blocks, (30, 5000)).cache()
     n, covered = 1350, got.covered
-    for scale in (30, 500, 5000):
+    for scale in (30, 5000):
         here = scales.where(f"scale = {scale}")
         blocks_here, covered_here = here.select("block_id").distinct().count(), intervals.merged(here).selectExpr("sum(end - start)").first()[0]
         print(scale, blocks_here, covered_here)
