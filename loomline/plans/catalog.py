@@ -206,7 +206,12 @@ def lookahead_votes(spark, sf_dir):
     return seeds.votes(graph.both_strands(index_of(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {INDEX}, own AS MATERIALIZED (SELECT DISTINCT chr, abs(vid) AS vertex FROM jx), firsts AS MATERIALIZED (SELECT vertex, min(chr) AS low FROM own GROUP BY vertex),
+apart AS MATERIALIZED (SELECT DISTINCT low, chr FROM own JOIN firsts USING (vertex) WHERE chr <> low), steps AS MATERIALIZED (SELECT low AS a, chr AS b FROM apart UNION SELECT chr, low FROM apart),
+reach(chr, label) AS (SELECT DISTINCT chr, chr FROM own UNION SELECT s.b, r.label FROM reach r JOIN steps s ON s.a = r.chr WHERE r.label < s.b)
+SELECT chr, min(label) AS label FROM reach GROUP BY chr"""
+)
 def components(spark, sf_dir):
     return cc.sequence_components(index_of(spark, sf_dir))
 
