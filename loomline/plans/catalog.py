@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from loomline.functions import sequence as sq
 from loomline.operators import components as cc
-from loomline.operators import graph, intervals, seeds, synteny
+from loomline.operators import graph, intervals, search, seeds, synteny
 from loomline.operators import kmers as km
 from loomline.operators.shared import checkpointed
 from loomline.sources import formats
@@ -206,6 +206,23 @@ def lookahead_votes(spark, sf_dir):
     return seeds.votes(graph.both_strands(index_of(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {STRANDS}, ahead AS MATERIALIZED (SELECT o.vid, o.chr, o.idx, x.vid AS next_vid, (x.pos - o.pos) * o.strand AS d FROM occ o JOIN occ x
+  ON o.chr = x.chr AND o.strand = x.strand AND (x.pos - o.pos) * o.strand BETWEEN 1 AND {search.BRANCH}),
+own AS (SELECT chr, idx, vid, min(d) AS stop FROM ahead WHERE abs(vid) = abs(next_vid) GROUP BY ALL),
+near AS (SELECT vid, next_vid, min(d) AS distance, NULL::VARCHAR AS edge, chr, idx FROM ahead LEFT JOIN own USING (chr, idx, vid)
+  WHERE abs(vid) <> abs(next_vid) AND (stop IS NULL OR d < stop) GROUP BY vid, next_vid, chr, idx),
+far AS (SELECT o.vid, x.vid AS next_vid, abs(x.pos - o.pos) AS distance, o.ch AS edge, o.chr, o.idx FROM occ o JOIN occ x ON o.chr = x.chr AND o.strand = x.strand AND x.idx = o.idx + o.strand
+  WHERE abs(x.pos - o.pos) > {search.BRANCH} AND abs(o.vid) <> abs(x.vid)),
+votes AS (SELECT vid, next_vid, edge, count(*) AS votes, min(distance) AS distance, min({{'chr': chr, 'idx': idx}}) AS origin FROM (FROM near UNION ALL FROM far) GROUP BY vid, next_vid, edge HAVING count(*) > 1),
+best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY vid ORDER BY votes DESC, origin.chr, origin.idx, distance, next_vid, edge DESC NULLS LAST) = 1)
+SELECT a.vid AS a, a.next_vid AS b, a.edge, a.distance FROM best a JOIN best c ON c.vid = -a.next_vid AND c.next_vid = -a.vid"""
+)
+def path_links(spark, sf_dir):
+    """The links of the first round of the block search, while no edge is used and all votes weigh the same."""
+    return search.links(search.open_rows(graph.both_strands(index_of(spark, sf_dir)), None))
+
+
 @query(
     f"""WITH RECURSIVE {INDEX}, own AS MATERIALIZED (SELECT DISTINCT chr, abs(vid) AS vertex FROM jx), firsts AS MATERIALIZED (SELECT vertex, min(chr) AS low FROM own GROUP BY vertex),
 apart AS MATERIALIZED (SELECT DISTINCT low, chr FROM own JOIN firsts USING (vertex) WHERE chr <> low), steps AS MATERIALIZED (SELECT low AS a, chr AS b FROM apart UNION SELECT chr, low FROM apart),

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from loomline.plans import catalog
 
 AT = "/root/testdata/sf0.001"
-WHOLE = ["kmer_pack", "canonical_kmers", "kmer_abundance", "junctions", "junction_index", "occurrence_chars", "edge_multiplicity", "cursor_advance", "components"]
+WHOLE = ["kmer_pack", "canonical_kmers", "kmer_abundance", "junctions", "junction_index", "occurrence_chars", "edge_multiplicity", "cursor_advance", "components", "path_links"]
 
 
 def expected(name, columns):
