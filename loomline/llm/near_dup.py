@@ -3,7 +3,7 @@
 1. One pass over the texts makes, for each document, the number of distinct shingles, a digest of
    the set and a SetSketch: m registers, each the truncated exponent of the least of exponentially
    spaced values. Registers are mergeable (element-wise maximum) and locality-sensitive.
-2. Documents with equal sets are one class; its smallest doc_id stands for it.
+2. Documents with equal sets are one class, which has a number of its own; one of its texts stands for it.
 3. Bands of registers are bucketed. In each bucket every class meets the smallest one, so a bucket of
    k classes makes k-1 pairs. The joint likelihood of two register arrays and the known set sizes
    estimates the similarity; pairs that may reach the threshold are verified on their full sets.
@@ -13,7 +13,7 @@
 
 A pair at the threshold shares no bucket with probability (1 - t^4)^32, 6e-11 at 0.85. No group is
 gathered in one task: hot buckets are reduced by partial aggregates and joined by keys that adaptive
-execution splits.
+execution splits; a shingle that many classes have is met in shares.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 SHIFT = 2000
 #: Pairs whose estimate is this much under the threshold are over six standard errors away.
 MARGIN = 0.2
-#: Ids of candidates are broadcast up to so many (8 bytes each), else joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Candidates are broadcast up to so many (about 100 bytes each), else joined by a shuffle.
+BROADCAST_IDS = 250_000
+#: Rows of one shingle that meet in one task; more are dealt over shares.
+SHARE_ROWS = 2048
 #: Texts are sketched in runs of about so many bytes, and hashed in runs that the processor's cache holds.
 RUN_BYTES, CACHED_BYTES = 1 << 20, 1 << 17
 
@@ -177,31 +180,34 @@ def runs_of(texts: list, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    for frame in frames:
-        ids, texts = frame["doc_id"], frame["text"].tolist()
-        texts = [t if isinstance(t, str) else None for t in texts]
+    for batch in batches:
+        ids, keys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         for lo, hi in runs_of(texts):
             hashes, counts = shingle_hashes(texts[lo:hi])
             n = hi - lo
             parts = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
             size = np.array([len(x) for x in parts])
             registers = sketch(np.concatenate(parts), np.repeat(np.arange(n), size), n)
-            yield pd.DataFrame(
-                {
-                    "doc_id": ids.iloc[lo:hi].to_numpy(),
-                    "n_shingles": size,
-                    "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in parts],
-                    "sketch": [r.tobytes() for r in registers],
-                }
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in parts]
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(lo, n), keys.slice(lo, n), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())],
+                ["doc_id", "key", "n_shingles", "digest", "sketch"],
             )
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key and text: doc_id and key, a hash of the text, tell a text from others that share its doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and sketch of each document."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_signatures, "doc_id long, n_shingles long, digest binary, sketch binary")
+    """doc_id, key, n_shingles, digest of the set (null if empty) and sketch of each document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed(docs).mapInArrow(_signatures, f"doc_id {kind}, key long, n_shingles long, digest binary, sketch binary")
 
 
 def _bands() -> Column:
@@ -241,20 +247,25 @@ def _confirmed(percent: int):
     return run
 
 
-def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is in ids; the ids are broadcast only if they are few enough."""
+def texts_of(docs: DataFrame, reps: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
+    """(rep, text) of the classes in ids (rep), once each; what is looked for is broadcast only if it is little enough.
+
+    repeats tells that docs may hold rows alike in doc_id and text; without any, texts need no grouping.
+    """
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    wanted = reps.select("rep", "doc_id", "key").join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    wanted = wanted.select("rep", F.col("doc_id").alias("of"), F.col("key").alias("at"))
+    found = keyed(docs).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at"))).select("rep", "text")
+    return found.groupBy("rep").agg(F.max("text").alias("text")) if repeats else found
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives whose full sets reach the threshold, checkpointed."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, repeats: bool) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the threshold, checkpointed."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     share = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     likely = checkpointed(pairs.join(side("b"), "b").join(side("a"), "a").where(share).mapInPandas(_likely(percent / 100), "a long, b long"))
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = narrowed(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id")
-    of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    texts = texts_of(docs, reps, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), repeats)
+    of = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
     return checkpointed(likely.join(of("b"), "b").join(of("a"), "a").mapInPandas(_confirmed(percent), "a long, b long"))
 
 
@@ -285,14 +296,15 @@ def _shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"rep": f["rep"].iloc[lo:hi].to_numpy(), "label": f["label"].iloc[lo:hi].to_numpy(), "h": parts})
 
 
-def missing_pairs(mixed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def missing_pairs(mixed: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, repeats: bool) -> DataFrame:
     """Pairs of different labels that may reach the threshold, by prefixes of the rarest shingles.
 
     mixed: (rep, label) of the classes whose buckets span several labels. Any two sets that reach
     the threshold share a shingle within their prefixes of n - ceil(t n) + 1 rarest ones, and where they
-    first do, the places leave room for the overlap. Rarity is counted over all of mixed.
+    first do, the places leave room for the overlap. Rarity is counted over all of mixed. The rows of a
+    shingle that has many are dealt over shares, each of which meets all rows of the other side.
     """
-    texts = narrowed(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), mixed.select("rep"), "rep").groupBy("rep").agg(F.max("text").alias("text"))
+    texts = texts_of(docs, reps, mixed.select("rep").distinct(), repeats)
     sets = checkpointed(mixed.join(texts, "rep").select("rep", "label", "text").mapInPandas(_shingled, "rep long, label long, h array<long>"))
     flat = sets.select("rep", "label", F.size("h").alias("n"), F.explode("h").alias("h"))
     # shingles of one class only join nothing but push others back: they are counted, not joined
@@ -303,14 +315,15 @@ def missing_pairs(mixed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     kept = shared.select("rep", "label", "n", F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("k", "x"), alone.alias("alone"))
     kept = checkpointed(kept.select("rep", "label", "n", (F.col("k") + F.col("alone")).alias("at"), F.col("x.h").alias("h")))
     per = kept.groupBy("h", "label").count()
-    main = per.groupBy("h").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("h", "main")
-    rows = kept.join(main, "h")
-    x = rows.where("label != main").select("h", *(F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "at")))
-    y = rows.select("h", "main", *(F.col(c).alias(f"{c}_y") for c in ("rep", "label", "n", "at")))
+    main = per.groupBy("h").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"), F.sum("count").alias("rows")).where("labels > 1")
+    rows = kept.join(main.select("h", "main", F.ceil(F.col("rows") / SHARE_ROWS).cast("int").alias("shares")), "h")
+    share = F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int").alias("share")
+    x = rows.where("label != main").select("h", share, *(F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "at")))
+    y = rows.select("h", "main", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *(F.col(c).alias(f"{c}_y") for c in ("rep", "label", "n", "at")))
     need = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(percent) / F.lit(100 + percent))
     room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     once = (F.col("label_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y"))
-    found = x.join(y, "h").where((F.col("label_x") != F.col("label_y")) & once & (room >= need))
+    found = x.join(y, ["h", "share"]).where((F.col("label_x") != F.col("label_y")) & once & (room >= need))
     return found.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
@@ -318,25 +331,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (columns doc_id and text).
 
     Links: 100 * intersection >= percent * union of the distinct 5-word shingle sets. component_id is
-    the smallest doc_id reachable. Null, empty and wordless texts have no shingles, link to nothing and are
-    their own component; fewer than five words make one shingle. A null doc_id is in its set's
-    component but never kept. Repeated rows stay repeated. An empty table gives an empty one.
+    the smallest doc_id reachable; doc_ids are of any type that has an order. Null, empty and wordless texts have no
+    shingles, link to nothing and are their own component; fewer than five words make one shingle. A null doc_id is in
+    its set's component but never kept, and sets that only such rows have link like others and leave component_id null.
+    Rows that share a doc_id are judged each by its own text, and repeated rows stay repeated. An empty table gives an
+    empty one.
     """
     signed = checkpointed(signatures(docs))
-    reps = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
-    reps = checkpointed(reps)
+    # of each class the least doc_id, and a text that stands for all; a null doc_id comes before others, so it is passed over
+    least = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("of")
+    classes = signed.where("digest is not null").groupBy("digest").agg(least, F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    reps = checkpointed(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "of.doc_id", "of.key", "n", "sketch"))
     buckets = checkpointed(reps.select("rep", F.explode(_bands()).alias("bucket")))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
     pairs = buckets.join(shared, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    edges = verified(pairs, reps, docs, percent)
+    repeats = bool(signed.where("digest is not null").groupBy("doc_id", "key").count().where("count > 1").limit(1).count())
+    edges = verified(pairs, reps, docs, percent, repeats)
     labels = components(reps, edges)
     # classes in buckets that span several labels may have links that the first round has not seen
     named = buckets.join(labels, "rep", "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label"))
     spans = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
     mixed = checkpointed(named.join(spans, "bucket", "left_semi").select("rep", "label").distinct())
-    more = verified(missing_pairs(mixed, docs, percent), reps, docs, percent)
+    more = verified(missing_pairs(mixed, reps, docs, percent, repeats), reps, docs, percent, repeats)
     labels = components(reps, edges.union(more))
-    of_class = reps.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
+    linked = reps.select("rep", "digest", "doc_id").join(labels, "rep", "left").select("digest", "doc_id", F.coalesce("label", "rep").alias("label"))
+    linked = checkpointed(linked)
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = linked.join(least, "label").select("digest", "component_id")
     found = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.coalesce("label", "doc_id")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -288,3 +288,26 @@ def test_near_duplicates_odd(spark):
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     assert sorted(((r.doc_id or 0), r.component_id, r.kept) for r in near_duplicates(twice).collect()) == [(0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False)]
     assert near_duplicates(df.limit(0), 85).count() == 0
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows that share a doc_id are judged each by its own text."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, "quite another text of its own words"), (1, long), (2, long + " more"), (3, "quite another text of its own words")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 1, True), (1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 3, 1, False)]
+
+
+def test_near_duplicates_of_text_ids_and_large_numbers(spark):
+    mine = [(f"d{i:05d}", t) for i, t in chains()]
+    assert sorted(map(tuple, near_duplicates(spark.createDataFrame(mine, "doc_id string, text string"), 85).collect())) == linked(mine, 85)
+    rows = [(2**62 + 1, "a b c d e f"), (None, "a b c d e f"), (None, "g h i"), (None, "g h i"), (2**62 + 3, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(2**62 + 1, 2, 2**62 + 1, True), (None, 2, 2**62 + 1, False), (None, 1, None, False), (None, 1, None, False), (2**62 + 3, 0, 2**62 + 3, True)], key=repr)
+
+
+def test_near_duplicates_meet_in_shares(spark, monkeypatch):
+    """A shingle that all documents have is met in shares, and no link is lost."""
+    monkeypatch.setattr("loomline.llm.near_dup.SHARE_ROWS", 3)
+    mine = [(i, "x y z u v " + t) for i, t in chains()]
+    assert sorted(map(tuple, near_duplicates(spark.createDataFrame(mine, "doc_id long, text string"), 80).collect())) == linked(mine, 80)
