@@ -341,6 +341,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # of each class the least doc_id, and a text that stands for all; a null doc_id comes before others, so it is passed over
     least = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("of")
     classes = signed.where("digest is not null").groupBy("digest").agg(least, F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    # numbered in order of doc_id: copies made of an early document resemble it more than each other, so it should be met first
+    classes = classes.orderBy(F.col("of.doc_id").asc_nulls_last(), "digest")
     reps = checkpointed(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "of.doc_id", "of.key", "n", "sketch"))
     buckets = checkpointed(reps.select("rep", F.explode(_bands()).alias("bucket")))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
