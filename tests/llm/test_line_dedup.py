@@ -71,3 +71,18 @@ def test_edges(spark):
     assert sorted((r.doc_id is None, r.text) for r in ld.line_dedup(twice).collect()) == [(False, ""), (False, ""), (True, "a b c d e")]
     assert ld.line_dedup(df.limit(0)).count() == 0
     assert found(ld.line_dedup(spark.createDataFrame([(1, "t")], "doc_id long, text string").select("doc_id", "text", F.lit(1).alias("t"), F.lit(2).alias("line")))) == {1: ("t", [])}
+
+
+def test_signatures_of_unlike_width(spark, monkeypatch):
+    """A line under LONG (or LONGER) words and one over it are held apart by their signatures, as lines of one width are."""
+    seen = []
+    monkeypatch.setattr(ld, "verified_later", lambda pairs, *rest, do=ld.verified_later: seen.append(pairs.count()) or do(pairs, *rest))
+    monkeypatch.setattr(ld, "PASS_ROWS", 10, raising=False)  # so that tokens are met in passes
+    pick, rows = random.Random(3), []
+    for i in range(40):  # of 38 and 42 or 105 and 115 words; the rarest three are the same, the others in two pairs alone
+        few, many = ((38, 42), (105, 115))[i % 2]
+        rare, one, other = [f"r{i}_{j}" for j in range(3)], *(pick.sample(range(400), many) for _ in range(2))
+        for k, (words_of, n) in enumerate(((one, few), (one if i < 2 else other, many))):
+            rows.append((2 * i + k, " ".join(rare + [f"c{j}" for j in words_of[: n - 3]])))
+    assert found(ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert 2 <= sum(seen) < 10
