@@ -86,3 +86,20 @@ def test_no_kmers(spark):
     assert graph.junctions(df, 5).collect() == [] == kmers.counted(kmers.pieces(df, 5), 5).collect()
     with pytest.raises(ValueError):
         kmers.pieces(df, 4)
+
+
+def test_memory_of_counts():
+    """A task's numpy arrays stay as small for many pieces as for few."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    peaks = []
+    for n in (64, 512):
+        batch = pa.RecordBatch.from_arrays([pa.array([b"$" + rng.choice(list(b"ACGT"), 4096).astype(np.uint8).tobytes() + b"$" for _ in range(n)])], ["piece"])
+        tracemalloc.start()
+        assert sum(sum(made.column("n").to_pylist()) for made in kmers._counted(25)([batch])) == n * (4096 - 25 + 1)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
