@@ -32,7 +32,7 @@ PERCENT = 80
 MIN_WORDS = 5
 #: Slots of the table of word counts (one byte each when broadcast, 16 MB), and the parts in which it is added up.
 SLOT_BITS, RANGES = 24, 64
-#: Words counted at once, and partitions of which the parts are added up in one step.
+#: Words (or pairs of lines) held at once, and partitions of which the parts are added up in one step.
 HELD, ONE_STEP = 1_000_000, 512
 #: A token is its word's place on the scale of counts and so many bits of its hash.
 TOKEN_BITS = 40
@@ -42,7 +42,11 @@ TOKEN_BITS = 40
 SIGN_BITS, LENGTH_BITS, LONG, LONGER = 39, 12, 40, 110
 FULL, LEADS = (1 << LENGTH_BITS) - 1, 1 << 2 * LENGTH_BITS
 #: Classes meet in so many passes over their tokens at most, of about so many rows or more, as shuffle files of a pass go when it ends.
-PASSES, PASS_ROWS = 8, 2_000_000
+PASSES, PASS_ROWS = 2, 8_000_000
+#: Rows and pairs of them that a task compares at once, if no group of a token is larger, and what a row may be in a pair.
+MET_ROWS, MET_PAIRS, EARLIER, LATER = 1 << 17, 1 << 18, 1, 2
+#: Earlier lines of each token that are tried for a line at first.
+NEAREST = 4
 #: Places of candidate lines, lost lines and rows of a round's share that are broadcast at most (8 to 32 bytes each), else a shuffle joins them.
 BROADCAST_PLACES, BROADCAST_LOST, BROADCAST_HEADS = 2_000_000, 500_000, 300_000
 #: Numbers of lost lines that are broadcast to the documents at most (4 bytes each, and 16 a document), else documents are shuffled once.
@@ -203,68 +207,167 @@ def _hinted(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if _few(df, most) else df
 
 
-def _rows(classes: DataFrame, s: str, part: int = 0, parts: int = 1) -> DataFrame:
-    """A row for each prefix token of classes (of the tokens of one part only): token, and the class's place and packed bounds with suffix s."""
-    # with each token the low bits of the one before it, 0 for the first
-    both = F.transform("prefix", lambda x, i: F.struct(x.alias("token"), F.coalesce(F.get("prefix", i - 1).bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0).cast("long")).alias("prior"), i.alias("k")))
-    if parts > 1:
-        both = F.filter(both, lambda x: F.pmod(x["token"], F.lit(parts)) == part)
-    flat = classes.select("doc_id", "u", "m", "more", "most", "lead", F.explode(both).alias("x"))
-    at = F.least(F.col("x.k").cast("long"), FULL - F.col("m").bitwiseAND(F.lit(FULL)))
-    m = F.col("m") + at + F.when(F.col("x.k") < F.col("lead"), F.lit(LEADS)).otherwise(0)
-    return flat.select("x.token", F.col("x.prior").alias(f"prior_{s}"), F.col("doc_id").alias(f"d_{s}"), F.col("u").alias(f"u_{s}"), m.alias(f"m_{s}"), F.col("more").alias(f"more_{s}"), F.col("most").alias(f"most_{s}"))
+def _rows(classes: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """A row for each prefix token of classes (of the tokens of one part only), with the class's place and packed bounds.
 
+    prior: low bits of the token before (0 for the first), then the class's role.
+    """
+    flat = classes.select("doc_id", "u", "m", "more", "most", "lead", "role", "prefix", F.posexplode("prefix").alias("k", "token"))
+    if parts > 1:
+        flat = flat.where(F.pmod("token", F.lit(parts)) == part)
+    before = F.coalesce(F.get("prefix", F.col("k") - 1).bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0).cast("long"))
+    at = F.least(F.col("k").cast("long"), FULL - F.col("m").bitwiseAND(F.lit(FULL)))
+    m = F.col("m") + at + F.when(F.col("k") < F.col("lead"), F.lit(LEADS)).otherwise(0)
+    return flat.select("token", (before * 4 + F.col("role")).alias("prior"), F.col("doc_id").alias("d"), "u", m.alias("m"), "more", "most")
 
-def _met(index: DataFrame, probe: DataFrame, percent: int, later: str | None = None, keep: str | None = None) -> DataFrame:
-    """Pairs (xd, xu) before (yd, yu) that bounds allow, and apart, the least number of words in one of them only.
 
-    Of the shorter line, which index has, only tokens that lead are met. Both sides are the same rows where a table meets
-    itself, so that they are shuffled once. later: the side ("i" or "p") whose line must be the later one. keep: a column
-    of both to keep.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in order of token, of whole groups of a token and about MET_ROWS rows at once."""
+    held, size, least = [], 0, MET_ROWS
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= least:
+            rows = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield [x[:cut] for x in rows]
+            held, size = [[x[cut:] for x in rows]], size - cut
+            least = max(MET_ROWS, 2 * size)
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _meet(rows: list[np.ndarray], percent: int):
+    """Token, doc_id and u of rows that share a token with others, and blocks of pairs that bounds allow: (later, earlier, apart), as places in these.
+
+    Of the shorter line (the first of equally long ones) only tokens that lead are met. A row's role is EARLIER, LATER or
+    both. Of each group only rows whose lengths allow it are compared. apart: the least number of words in one line only.
     """
-    n, at = (lambda s, by=by: F.shiftright(F.col(f"m_{s}"), by).bitwiseAND(F.lit(FULL)) for by in (LENGTH_BITS, 0))
-    # at the width that both signatures have; parities are linear, so that it is the difference that is folded and unfolded
-    differ = lambda c: F.col(f"{c}_i").bitwiseXOR(F.col(f"{c}_p"))
-    more, most = (F.when(F.least(n("i"), n("p")) >= least, differ(c)).otherwise(F.lit(0).cast("long")) for c, least in (("more", LONG), ("most", LONGER)))
-    folded = more.bitwiseAND(F.lit((1 << SIGN_BITS) - 1)).bitwiseXOR(F.shiftrightunsigned(more, SIGN_BITS))
-    apart = F.bit_count(F.shiftrightunsigned(differ("m"), 2 * LENGTH_BITS + 1).bitwiseXOR(folded)) + F.bit_count(more.bitwiseXOR(most)) + F.bit_count(most)
-    first = (F.col("d_i") < F.col("d_p")) | ((F.col("d_i") == F.col("d_p")) & (F.col("u_i") < F.col("u_p")))
-    both = n("i") + n("p")
+    token = rows[0]
+    new = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    size = np.diff(np.append(new, len(token)))
+    group, shared = np.repeat(np.arange(len(new)), size), np.repeat(size > 1, size)
+    rows, group = [x[shared] for x in rows], group[shared]
+    key = group << LENGTH_BITS | rows[4] >> LENGTH_BITS & FULL
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    token, prior, d, u, m, more, most = (x[order] for x in rows)
+    m, more, most = (x.view(np.uint64) for x in (m, more, most))
+    n, at = key & FULL, (m & np.uint64(FULL)).astype(np.int64)
+    role, prior = prior & 3, prior >> 2
+    leads = (m & np.uint64(LEADS)) != 0
+    sign = m >> np.uint64(2 * LENGTH_BITS + 1)
     # overlap >= t (n_i + n_p) / (1 + t), so the words in one line only are at most (n_i + n_p) (1 - t) / (1 + t)
-    bounds = (n("i") * 100 >= n("p") * percent) & (F.least(n("i") - at("i"), n("p") - at("p")) * (100 + percent) >= both * percent) & (apart * (100 + percent) <= both * (100 - percent))
-    shorter = (n("i") < n("p")) | ((n("i") == n("p")) & first)
-    # lines whose tokens before are equal too have met by these: of a run of common tokens the first is enough
-    run_on = (F.col("prior_i") == F.col("prior_p")) & (F.col("prior_i") != 0)
-    allowed = (F.col("m_i").bitwiseAND(F.lit(LEADS)) != 0) & shorter & ~run_on & ((n("p") == FULL) | bounds)
-    if later:
-        allowed &= ~first if later == "i" else first
-    ends = [F.when(first, F.col(f"{c}_{a}")).otherwise(F.col(f"{c}_{b}")).alias(f"{name}{c}") for name, a, b in (("x", "i", "p"), ("y", "p", "i")) for c in "du"]
-    return index.join(probe, "token").where(allowed).select(*([keep] if keep else []), *ends, apart.alias("apart"))
-
-
-def _met_by(some: DataFrame, rows: DataFrame, percent: int, later: tuple[str, str], only: DataFrame | None = None) -> DataFrame:
-    """Pairs of a line of some (few classes) and one of rows, either being the shorter; later: the later one's side, by some's."""
-    found = []
-    for s, o, side in (("i", "p", later[0]), ("p", "i", later[1])):
-        few, many = (_rows(x, z) if only is None else _rows(x, z).join(only, "token", "left_semi") for x, z in ((some, s), (rows, o)))
-        few = _hinted(few, BROADCAST_HEADS)
-        found.append(_met(few, many, percent, side) if s == "i" else _met(many, few, percent, side))
-    return found[0].union(found[1])
-
-
-def _hot(classes: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """Tokens whose groups seem to have more than FEW lines alike, and the largest estimate. A wrong one costs time only.
+    allowed = np.minimum(np.arange(2 * FULL + 1) * (100 - percent) // (100 + percent), 255).astype(np.uint8)
+    most_long = key - n + np.minimum(n * 100 // percent, FULL)
+
+    def bounded(i: np.ndarray, p: np.ndarray):
+        ok = np.bitwise_count(sign[i] ^ sign[p]) <= allowed[n[i] + n[p]]
+        i, p = i[ok], p[ok]
+        first = (d[i] < d[p]) | ((d[i] == d[p]) & (u[i] < u[p]))
+        y, x = np.where(first, p, i), np.where(first, i, p)
+        ok = (first | (n[i] < n[p])) & ((role[y] & LATER) != 0) & ((role[x] & EARLIER) != 0)
+        # lines whose tokens before are equal too have met by these: of a run of common tokens the first is enough
+        ok &= (prior[i] != prior[p]) | (prior[i] == 0)
+        ok &= (n[p] == FULL) | (np.minimum(n[i] - at[i], n[p] - at[p]) * (100 + percent) >= (n[i] + n[p]) * percent)
+        i, p, y, x = i[ok], p[ok], y[ok], x[ok]
+        # at the width that both signatures have; parities are linear, so that it is the difference that is folded and unfolded
+        wide, widest = (np.where(n[i] >= least, c[i] ^ c[p], np.uint64(0)) for c, least in ((more, LONG), (most, LONGER)))
+        folded = wide & np.uint64((1 << SIGN_BITS) - 1) ^ wide >> np.uint64(SIGN_BITS)
+        apart = np.bitwise_count(sign[i] ^ sign[p] ^ folded) + np.bitwise_count(wide ^ widest) + np.bitwise_count(widest)
+        ok = apart <= allowed[n[i] + n[p]]
+        return y[ok], x[ok], apart[ok]
+
+    def blocks():
+        # each pair has one of the rarer role, so that few lines that meet many are not compared with all
+        fewer = role & (EARLIER if (role & EARLIER).astype(bool).sum() < (role & LATER).astype(bool).sum() else LATER) != 0
+        for index, probe in ((leads & fewer, None), (leads & ~fewer, fewer)):
+            i, p = np.flatnonzero(index), np.arange(len(key)) if probe is None else np.flatnonzero(probe)
+            low, high = np.searchsorted(key[p], key[i]), np.searchsorted(key[p], most_long[i], side="right")
+            ends = np.cumsum(high - low)
+            begin = 0
+            while begin < len(i):
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + MET_PAIRS)))
+                count = (high - low)[begin:end]
+                place = np.arange(count.sum()) + np.repeat(high[begin:end] - (ends[begin:end] - done), count)
+                yield bounded(np.repeat(i[begin:end], count), p[place])
+                begin = end
+
+    return (token, d, u), blocks()
+
+
+def _nearest(percent: int, low: int, high: int):
+    """Of each row's earlier ones the nearest, from the one of rank low to before rank high; more: whether there are others after these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            (_, d, u), blocks = _meet(rows, percent)
+            held, size, least = [], 0, HELD
+
+            def ranked():
+                y, x, apart = (np.concatenate(z) for z in zip(*held))
+                order = np.lexsort((u[x], d[x], apart, y))
+                y, x, apart = y[order], x[order], apart[order]
+                first = np.flatnonzero(np.append(True, y[1:] != y[:-1]))[: len(y)]
+                count = np.diff(np.append(first, len(y)))
+                return y, x, apart, np.arange(len(y)) - np.repeat(first, count), np.repeat(count > high, count)
+
+            for block in blocks:
+                held.append(block)
+                size += len(block[0])
+                if size >= least:
+                    *block, rank, _ = ranked()
+                    held = [[z[rank <= high] for z in block]]
+                    size = len(held[0][0])
+                    least = max(HELD, 2 * size)
+            if not size:
+                continue
+            y, x, apart, rank, more = ranked()
+            kept = (rank >= low) & (rank < high)
+            y, x = y[kept], x[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(d[x]), pa.array(u[x]), pa.array(d[y]), pa.array(u[y]), pa.array(apart[kept].astype(np.int32)), pa.array(more[kept])], ["xd", "xu", "yd", "yu", "apart", "more"])
+
+    return run
+
+
+def _counts(percent: int):
+    """For each token the pairs that bounds allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            (token, _, _), blocks = _meet(rows, percent)
+            n = np.zeros(len(token), np.int64)
+            for y, _, _ in blocks:
+                n += np.bincount(y, minlength=len(n))
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(n[some])], ["token", "n"])
+
+    return run
+
+
+def _by_token(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token").sortWithinPartitions("token")
+
+
+def _met(rows: DataFrame, percent: int, low: int, high: int) -> DataFrame:
+    """Pairs (xd, xu) before (yd, yu) that bounds allow: of each token and later line those of ranks low to high by apart."""
+    return _by_token(rows).mapInArrow(_nearest(percent, low, high), "xd long, xu long, yd long, yu long, apart int, more boolean")
+
+
+def _hot(classes: DataFrame, percent: int) -> tuple[DataFrame, int, int]:
+    """Tokens whose groups seem to have more than FEW lines alike, the largest estimate and about how many rows there are. Wrong ones cost time only.
 
     A sample of a group meets itself: of k lines alike the share's square of k^2 / 2 pairs pass the bounds.
     """
-    some = written(_rows(classes.where(F.pmod(F.xxhash64("doc_id", "u"), F.lit(COUNTED)) == 0), "i"))
+    some = written(_rows(classes.where(F.pmod(F.xxhash64("doc_id", "u"), F.lit(COUNTED)) == 0).withColumn("role", F.lit(EARLIER | LATER))))
     large = checkpointed(some.groupBy("token").count().where(F.col("count") * COUNTED > FEW).select("token", F.ceil(F.col("count") / TRIED).alias("thin")))
-    tried = some.join(_hinted(large, BROADCAST_HEADS), "token").where(F.pmod(F.xxhash64("d_i", "u_i", F.lit(3)), F.col("thin")) == 0)
-    probe = tried.select("token", *(F.col(f"{c}_i").alias(f"{c}_p") for c in ("prior", "d", "u", "m", "more", "most")))
-    pairs = _met(tried.drop("thin"), probe, percent, keep="token").groupBy("token").count()
-    size = F.sqrt(2 * F.col("count")) * F.col("thin") * COUNTED
+    tried = some.join(_hinted(large, BROADCAST_HEADS), "token").where(F.pmod(F.xxhash64("d", "u", F.lit(3)), F.col("thin")) == 0).select(*some.columns)
+    pairs = _by_token(tried).mapInArrow(_counts(percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    size = F.sqrt(2 * F.col("n")) * F.col("thin") * COUNTED
     hot = checkpointed(pairs.join(_hinted(large, BROADCAST_HEADS), "token").select("token", size.alias("size")).where(F.col("size") > FEW))
-    return hot.select("token"), int(hot.agg(F.max("size")).first()[0] or 0)
+    return hot.select("token"), int(hot.agg(F.max("size")).first()[0] or 0), some.count() * COUNTED
 
 
 def later_matches(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -272,34 +375,47 @@ def later_matches(classes: DataFrame, lines: DataFrame, percent: int) -> DataFra
 
     Lines of a large group are settled by one earlier match each: before the join of all, tokens of large groups
     alone are met by one class in many, then by more, and what is settled needs no earlier line any more. So of a group of
-    k lines that match with probability p, every round makes O(k / p) pairs.
+    k lines that match with probability p, every round makes O(k / p) pairs. Of all other lines the NEAREST earlier
+    ones of each token are verified, then GROWTH^2 times as many of those that are not settled and have more.
     """
-    hot, most = _hot(classes, percent)
+    hot, most, size = _hot(classes, percent)
     shares = [GROWTH**k for k in range(1, 16) if most // GROWTH ** (k - 1) > FEW][::-1]
-    settled = None
+    settled = classes.select("doc_id", "u").limit(0)
     only = _hinted(hot, BROADCAST_HEADS) if shares else hot
     for share in shares:
-        some = classes.where(F.pmod(F.xxhash64("doc_id", "u", F.lit(7)), F.lit(share)) == 0)
-        waiting = classes if settled is None else _without(classes, settled)
-        found = verified_later(written(_likeliest(_met_by(some, waiting, percent, ("p", "i"), only))), lines, percent)
-        settled = checkpointed(found if settled is None else found.union(settled).distinct())
-    waiting = classes if settled is None else _without(classes, settled)
-    old = None if settled is None else classes.join(_hinted(settled, BROADCAST_LOST), ["doc_id", "u"], "left_semi")
-    parts = min(PASSES, 1 + (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) // PASS_ROWS)
-    met = []
-    for k in range(parts):
-        rows = lambda x, s, k=k: _rows(x, s, k, parts)
-        found = _met(rows(waiting, "i"), rows(waiting, "p"), percent)
-        if old is not None:
-            found = found.union(_met(rows(waiting, "i"), rows(old, "p"), percent, "i")).union(_met(rows(old, "i"), rows(waiting, "p"), percent, "p"))
-        met.append(written(found))
-    pairs = reduce(DataFrame.union, met)
+        some = F.pmod(F.xxhash64("doc_id", "u", F.lit(7)), F.lit(share)) == 0
+        rows = _rows(_with_roles(classes, some, settled)).join(only, "token", "left_semi")
+        found = verified_later(written(_likeliest(_met(rows, percent, 0, 1))), lines, percent)
+        settled = checkpointed(found.union(settled).distinct())
+    of_all = _with_roles(classes, F.lit(True), settled)
+    parts = min(PASSES, 1 + size // PASS_ROWS)
+    low, high = 0, NEAREST
+    pairs = reduce(DataFrame.union, [written(_met(_rows(of_all, k, parts), percent, low, high)) for k in range(parts)])
     found = checkpointed(verified_later(written(_likeliest(pairs)), lines, percent))
-    y = [F.col("yd").alias("doc_id"), F.col("yu").alias("u")]
-    rest = written(_without(pairs.select("xd", "xu", "yd", "yu", *y), found).select("xd", "xu", "yd", "yu").distinct())
-    if rest.limit(1).count():
-        found = found.union(verified_later(rest, lines, percent))
-    return checkpointed((found if settled is None else found.union(settled)).distinct())
+    while True:
+        later = pairs.select("*", F.col("yd").alias("doc_id"), F.col("yu").alias("u"))
+        rest = written(_without(later, found).select("xd", "xu", "yd", "yu").distinct())
+        if rest.limit(1).count():
+            found = checkpointed(found.union(verified_later(rest, lines, percent)))
+        settled = checkpointed(found.union(settled).distinct())
+        waiting = checkpointed(_without(later.where("more").select("doc_id", "u").distinct(), found))
+        if not waiting.limit(1).count():
+            return settled
+        # only tokens of the lines that wait
+        low, high = high, high * GROWTH**2
+        few = classes.join(_hinted(waiting, BROADCAST_LOST), ["doc_id", "u"], "left_semi")
+        tokens = checkpointed(few.select(F.explode("prefix").alias("token")).distinct())
+        of_some = classes.join(_hinted(waiting.withColumn("waits", F.lit(True)), BROADCAST_LOST), ["doc_id", "u"], "left")
+        of_some = of_some.withColumn("role", F.when(F.col("waits"), EARLIER | LATER).otherwise(EARLIER))
+        pairs = written(_met(_rows(of_some).join(_hinted(tokens, BROADCAST_HEADS), "token", "left_semi"), percent, low, high))
+        found = found.limit(0)
+
+
+def _with_roles(classes: DataFrame, earlier: Column, settled: DataFrame) -> DataFrame:
+    """Classes with a role: EARLIER by the condition, LATER unless they are settled."""
+    marked = classes.join(_hinted(settled.withColumn("done", F.lit(True)), BROADCAST_LOST), ["doc_id", "u"], "left")
+    role = F.when(earlier, EARLIER).otherwise(0) + F.when(F.col("done"), 0).otherwise(LATER)
+    return marked.withColumn("role", role).where("role > 0").drop("done")
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:

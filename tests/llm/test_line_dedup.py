@@ -86,3 +86,53 @@ def test_signatures_of_unlike_width(spark, monkeypatch):
             rows.append((2 * i + k, " ".join(rare + [f"c{j}" for j in words_of[: n - 3]])))
     assert found(ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
     assert 2 <= sum(seen) < 10
+
+
+def test_pairs_of_alike_lines_are_few(spark, monkeypatch):
+    """Of a group of lines that are all alike each has few pairs for each of its tokens, not one for every earlier line."""
+    seen = []
+
+    def counted(df, do=ld.written):
+        out = do(df)
+        if {"apart", "yd"} <= set(df.columns):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ld, "written", counted)
+    rows = [(i, " ".join([f"w{j}" for j in range(40) if j != i % 40] + [f"x{i // 40}", f"y{i % 7}"])) for i in range(400)]
+    assert found(ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert 0 < sum(seen) < 20_000  # the 79,800 pairs of the group shared several tokens each
+
+
+def test_lines_that_the_nearest_do_not_settle(spark, monkeypatch):
+    """If the nearest earlier lines don't match, those after them are tried, in rounds, down to the last."""
+    ranks = []
+    monkeypatch.setattr(ld, "NEAREST", 1, raising=False)
+    monkeypatch.setattr(ld, "GROWTH", 2)
+    monkeypatch.setattr(ld, "_met", lambda rows, percent, low, high, do=ld._met: ranks.append((low, high)) or do(rows, percent, low, high))
+    pick = random.Random(5)
+    rows = [(i, " ".join(pick.sample([f"w{k}" for k in range(30)], 9))) for i in range(150)]
+    assert found(ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50)) == brute(rows, 50)
+    assert ranks[:2] == [(0, 1), (1, 4)]
+
+
+def test_rows_are_met_in_pieces(monkeypatch):
+    """Ranks of a token's pairs don't depend on how many rows and pairs are held at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    make = np.random.default_rng(2)
+    n = make.integers(5, 12, 400)
+    m = make.integers(0, 1 << 12, 400) << 25 | ld.LEADS | n << ld.LENGTH_BITS
+    columns = [np.sort(make.integers(1, 6, 400)), make.integers(1, 4, 400), np.arange(400), np.arange(400), m, np.zeros(400, np.int64), np.zeros(400, np.int64)]
+    batches = pa.Table.from_arrays([pa.array(x) for x in columns], list("abcdefg")).to_batches(50)
+
+    def ranked(low, high):
+        return sorted(tuple(r.values()) for x in ld._nearest(50, low, high)(iter(batches)) for r in x.to_pylist())
+
+    whole = ranked(0, 3), ranked(3, 9), ranked(0, 400)
+    assert whole[0] and any(r[-1] for r in whole[0]) and not any(r[-1] for r in whole[2])
+    assert {r[:5] for r in whole[0] + whole[1]} == {r[:5] for r in ranked(0, 9)} < {r[:5] for r in whole[2]}
+    for name, least in (("MET_ROWS", 8), ("MET_PAIRS", 16), ("HELD", 32)):
+        monkeypatch.setattr(ld, name, least)
+    assert (ranked(0, 3), ranked(3, 9), ranked(0, 400)) == whole
