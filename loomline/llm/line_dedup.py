@@ -6,11 +6,11 @@
 2. Two lines of similarity t share a token within their prefixes of n - ceil(t n) + 1 rarest tokens, and the shorter
    one within its first n - ceil(2 t n / (1 + t)) + 1. Words that occur once in the corpus come first and can match nothing:
    they take up places of a prefix but are not joined, and a line whose prefix they fill is dropped at once.
-3. Lines of equal token sets are one class, named by its first place in the corpus. Classes meet by token; lengths, the
+3. Lines of equal token sets are one class, named by its first place in the corpus. Classes meet by token, in order of length; lengths, the
    token's places and the parity signatures of both sets bound their overlap.
 4. Of each line's candidates the likeliest earlier one is verified on its words first; only lines that it doesn't settle
-   have all others verified. Tokens of large groups are met by a growing share of the classes before, so
-   that a group of k alike lines doesn't make all its pairs.
+   have others verified, in rounds of ever more of them. Tokens of large groups are met by a growing share of the classes
+   before, so that a group of k alike lines doesn't make all its pairs.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ TOKEN_BITS = 40
 SIGN_BITS, LENGTH_BITS, LONG, LONGER = 39, 12, 40, 110
 FULL, LEADS = (1 << LENGTH_BITS) - 1, 1 << 2 * LENGTH_BITS
 #: Classes meet in so many passes over their tokens at most, of about so many rows or more, as shuffle files of a pass go when it ends.
-PASSES, PASS_ROWS = 2, 8_000_000
+PASSES, PASS_ROWS = 4, 4_000_000
 #: Rows and pairs of them that a task compares at once, if no group of a token is larger, and what a row may be in a pair.
-MET_ROWS, MET_PAIRS, EARLIER, LATER = 1 << 17, 1 << 18, 1, 2
+MET_ROWS, MET_PAIRS, EARLIER, LATER = 1 << 15, 1 << 16, 1, 2
 #: Earlier lines of each token that are tried for a line at first.
 NEAREST = 4
 #: Places of candidate lines, lost lines and rows of a round's share that are broadcast at most (8 to 32 bytes each), else a shuffle joins them.
